@@ -14,6 +14,7 @@ from incidentia.functions import labels as LB
 from incidentia.functions import parse
 from incidentia.functions import promotion as PR
 from incidentia.functions import text as TX
+from incidentia.functions.arrays import total
 from incidentia.operators import features as FE
 from incidentia.operators import filters as FI
 from incidentia.operators import linear as LI
@@ -635,19 +636,14 @@ def top_terms_per_class(spark, sf):
 
 def embedding_logits(embedding: Column) -> Column:
     """Five scores per vector, each the sum of every fifth component."""
-    return F.array(
-        *[
-            F.aggregate(
-                F.transform(
-                    embedding,
-                    lambda x, i, c=c: F.when(i % 5 == c, x.cast("double")).otherwise(0.0),
-                ),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            )
-            for c in range(5)
-        ]
-    )
+
+    def share(c: int) -> Column:
+        def pick(x: Column, i: Column) -> Column:
+            return F.when(i % 5 == c, x.cast("double")).otherwise(0.0)
+
+        return total(F.transform(embedding, pick))
+
+    return F.array(*[share(c) for c in range(5)])
 
 
 def _scored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
