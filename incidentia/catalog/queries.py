@@ -27,7 +27,7 @@ from incidentia.operators import splits as SP
 from incidentia.plans import explore as EX
 from incidentia.plans.train import ModelStore, train_job
 from incidentia.schema import LABELS, REPORT
-from incidentia.session import shared_dir
+from incidentia.session import shared_dir, written_table
 from incidentia.sources import tables as TB
 from incidentia.sources.pages import explode_pages, first_reports
 from incidentia.sources.reports import load_accumulated, save_accumulated
@@ -338,7 +338,9 @@ def literal_search(spark, sf):
 
 @query
 def explore_filter(spark, sf):
-    return EX.explore_view(cleaned(spark, sf), labels=["D", "M"], term="patient|the ")
+    """Browsing the stored table of cleaned reports."""
+    stored = written_table(cleaned(spark, sf).drop("narrative_text"), "cleaned")
+    return EX.explore_view(stored, labels=["D", "M"], term="patient|the ")
 
 
 @query
@@ -602,7 +604,7 @@ def rule_coefficient(term: Column, label: str) -> Column:
 
 @query
 def linear_score(spark, sf):
-    vocab = _vocabulary(spark, sf, 5_000)
+    vocab = written_table(_vocabulary(spark, sf, 5_000), "vocabulary")
     rows = text_rows(spark, sf)
     weights = FE.tfidf_weights(rows, FE.TermSpace.fit(vocab))
     coefficients = vocab.select(
@@ -787,16 +789,21 @@ def dashboard_totals(spark, sf):
 SMALL = {"max_features": 2_000, "max_iter": 50}
 
 
+def stored_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows as a table: every step of fitting reads them again."""
+    return written_table(training_rows(spark, sf), "training")
+
+
 @query
 def fit_logreg(spark, sf):
     """Coefficients of the default classifier, the highest fifteen per class."""
-    model = MO.fit_text_model(training_rows(spark, sf))
+    model = MO.fit_text_model(stored_training_rows(spark, sf))
     return LI.top_terms(model.coefficients(spark))
 
 
 @query
 def predict_scores(spark, sf):
-    rows = training_rows(spark, sf)
+    rows = stored_training_rows(spark, sf)
     model = MO.fit_text_model(rows, MO.Params(**SMALL))
     return model.transform(rows).select(
         "report_number", "severity_label", "predicted_label", "probabilities"
@@ -805,7 +812,7 @@ def predict_scores(spark, sf):
 
 @query
 def fit_svm(spark, sf):
-    rows = training_rows(spark, sf)
+    rows = stored_training_rows(spark, sf)
     model = MO.fit_text_model(rows, MO.Params("svm", **SMALL))
     return model.transform(rows).select(
         "report_number", "severity_label", "predicted_label", "decision_scores"
@@ -814,7 +821,7 @@ def fit_svm(spark, sf):
 
 @query
 def cross_validate_logreg(spark, sf):
-    return MO.cross_validate(training_rows(spark, sf), MO.Params(**SMALL))
+    return MO.cross_validate(stored_training_rows(spark, sf), MO.Params(**SMALL))
 
 
 @query
@@ -823,7 +830,7 @@ def grid_search(spark, sf):
     grid = MO.param_grid(
         grid={"ngram_range": [(1, 1), (1, 2)], "max_features": [2_000], "C": [0.1, 1.0]}, max_iter=50
     )
-    return MO.grid_scores(training_rows(spark, sf), grid, n_splits=3)
+    return MO.grid_scores(stored_training_rows(spark, sf), grid, n_splits=3)
 
 
 @query

@@ -55,8 +55,12 @@ _FOLD = "(?iu)"
 _WORD = r"[\p{L}\p{N}_]"
 
 # Every boilerplate phrase holds one of these fragments. They have no letter with a non-ASCII case
-# partner (i, k, s do), so a plain lower-case test never misses a phrase.
-_BOILERPLATE_FRAGMENTS = ["report", "rece", "reque", "formation"]
+# partner (i, k, s do), so matching ASCII case alone never misses a phrase.
+_BOILERPLATE_FRAGMENT = "(?i)re(?:port|ce|que)|formation"
+# Letters that no boilerplate match can swallow: the phrases do not contain them, and the one
+# wildcard stands after a "w".
+_LASTING_LETTER = "(?<![wW])[jkxyzJKXYZ][^jkxyzJKXYZ]*+"
+_ANY_LETTER = "[a-zA-Z][^a-zA-Z]*+"
 
 
 def _short_form_pattern(short: str) -> str:
@@ -84,14 +88,10 @@ def remove_boilerplate(text: Column) -> Column:
     Texts without any phrase skip the pass: the first substitution of the sequence can only fire
     if the untouched text holds a phrase.
     """
-    lowered = F.lower(text)
-    suspect = F.lit(False)
-    for fragment in _BOILERPLATE_FRAGMENTS:
-        suspect = suspect | lowered.contains(fragment)
     out = text
     for phrase in BOILERPLATE:
         out = F.regexp_replace(out, _FOLD + phrase, " ")
-    return F.when(suspect, out).otherwise(text)
+    return F.when(text.rlike(_BOILERPLATE_FRAGMENT), out).otherwise(text)
 
 
 def expand_abbreviations(text: Column) -> Column:
@@ -120,11 +120,19 @@ def long_enough(text: Column, cleaned: Column, min_chars: int = MIN_CLEAN_CHARS)
 
     Catalyst moves a filter below the projection it reads and so repeats the cleaning. Expanding
     short forms only adds letters, hence ``min_chars + 1`` letters left after boilerplate removal
-    already settle the test; the full chain runs a second time for very short texts only.
+    settle the test, and enough letters that boilerplate never takes settle it on sight; the full
+    chain runs a second time for very short texts only.
     """
     known = F.coalesce(text.cast("string"), F.lit(""))
-    letters = r"(?:[a-zA-Z][^a-zA-Z]*+){%d}" % (min_chars + 1)
-    return remove_boilerplate(known).rlike(letters) | (F.length(cleaned) > min_chars)
+    enough = "(?:%s){%d}"
+    lasting = enough % (_LASTING_LETTER, min_chars + 1)
+    letters = enough % (_ANY_LETTER, min_chars + 1)
+    return (
+        known.rlike(lasting)
+        | (known.rlike(letters) & ~known.rlike(_BOILERPLATE_FRAGMENT))
+        | remove_boilerplate(known).rlike(letters)
+        | (F.length(cleaned) > min_chars)
+    )
 
 
 def text_length(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,17 +156,21 @@ class TermSpace:
 
     @classmethod
     def fit(cls, vocab: DataFrame, ngram_range: tuple[int, int] = NGRAM_RANGE) -> TermSpace:
-        """Bring the vocabulary (at most ``max_features`` rows) to the driver in index order."""
-        rows = vocab.select("term", "idf").orderBy("term").collect()
-        if not rows:
+        """Index the retained terms (at most ``max_features``) and keep their weights."""
+        kept = vocab.select("term", "idf").cache()
+        one_row = kept.agg(F.collect_list("term").alias(_GRAMS))
+        idf = {row["term"]: row["idf"] for row in kept.collect()}
+        if not idf:
             raise ValueError("empty vocabulary: no term passes the document frequency limits")
+        # Fitting on the list of terms indexes them inside the JVM, whatever their order.
+        counter = CountVectorizer(
+            inputCol=_GRAMS, outputCol=_COUNTS, vocabSize=len(idf), minDF=1.0
+        ).fit(one_row)
+        kept.unpersist()
+        scale = Vectors.dense([idf[term] for term in counter.vocabulary])
         stages = [
-            CountVectorizerModel.from_vocabulary([r.term for r in rows], _GRAMS, _COUNTS),
-            ElementwiseProduct(
-                scalingVec=Vectors.dense([r.idf for r in rows]),
-                inputCol=_SUBLINEAR,
-                outputCol=_SCALED,
-            ),
+            counter,
+            ElementwiseProduct(scalingVec=scale, inputCol=_SUBLINEAR, outputCol=_SCALED),
             Normalizer(p=2.0, inputCol=_SCALED, outputCol="features"),
         ]
         return cls(PipelineModel(stages), ngram_range)
