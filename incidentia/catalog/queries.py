@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -676,21 +675,28 @@ def rank_class_scores(spark, sf):
     )
 
 
-def _load_cosine_predictor():
-    """A stand-in for a model that only Python can run."""
-    size = 64
-    weights = np.cos(np.arange(len(LABELS) * size, dtype=np.float64)).reshape(len(LABELS), size)
+def cosine_predictor(n_classes: int, size: int):
+    """A stand-in for a model that only Python can run.
 
-    def predict(vectors: pd.Series) -> list:
-        return list(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) @ weights.T)
+    Returns the loader as a closure, so tasks need nothing but numpy to unpack it.
+    """
 
-    return predict
+    def load():
+        grid = np.arange(n_classes * size, dtype=np.float64).reshape(n_classes, size)
+        weights = np.cos(grid)
+
+        def predict(vectors) -> list:
+            return list(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) @ weights.T)
+
+        return predict
+
+    return load
 
 
 @query
 def batch_predictor(spark, sf):
     rows = TB.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    logits = MO.predict_batches(rows, _load_cosine_predictor, "embedding").drop("embedding")
+    logits = MO.predict_batches(rows, cosine_predictor(len(LABELS), 64), "embedding").drop("embedding")
     return LI.predict_from_logits(logits, "logits", LABELS).select(
         "vec_id",
         "predicted_label",
