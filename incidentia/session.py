@@ -38,9 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
 def written_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor.
+    Cuts the lineage with files that outlive any executor. They stay until someone deletes them;
+    jobs that know when they are done use ``Scratch``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return _write_and_read(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """The written tables of one job, deleted together at the end of the ``with`` block.
+
+    Nothing that leaves the block may still read them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._root = f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+        self._tables = 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self._tables += 1
+        return _write_and_read(df, f"{self._root}/{name}-{self._tables}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        root = self._spark._jvm.org.apache.hadoop.fs.Path(self._root)
+        root.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def _write_and_read(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

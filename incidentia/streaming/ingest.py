@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from incidentia.operators.merge import dedup_batch, new_only
 from incidentia.operators.records import flatten_records
 from incidentia.schema import REPORT
-from incidentia.session import written_table
+from incidentia.session import Scratch
 from incidentia.sources.pages import explode_pages, page_number
 from incidentia.sources.reports import load_accumulated, save_accumulated
 
@@ -43,16 +43,17 @@ def add_batch(
     The new rows are written aside first because the table they are compared with is the one
     they go into.
     """
-    batch = written_table(batch.select(*REPORT.names), "batch")
-    returned = batch.count()
-    existing = load_accumulated(spark, accumulated_path).filter(
-        ~F.col("batch_id").eqNullSafe(batch_id)
-    )
-    rows = dedup_batch(batch) if dedup_within else batch
-    added = new_only(existing, rows, small_batch=returned <= SMALL_BATCH_ROWS)
-    added = written_table(added, "added")
-    save_accumulated(added, accumulated_path, batch_id)
-    return returned, added.count()
+    with Scratch(spark) as scratch:
+        batch = scratch.table(batch.select(*REPORT.names), "batch")
+        returned = batch.count()
+        existing = load_accumulated(spark, accumulated_path).filter(
+            ~F.col("batch_id").eqNullSafe(batch_id)
+        )
+        rows = dedup_batch(batch) if dedup_within else batch
+        added = new_only(existing, rows, small_batch=returned <= SMALL_BATCH_ROWS)
+        added = scratch.table(added, "added")
+        save_accumulated(added, accumulated_path, batch_id)
+        return returned, added.count()
 
 
 def ingest_available(
