@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = "report_number"
-_KNOWN, _SPREAD = "__known_key", "__spread"
+_KNOWN = "__known_key"
 
 
 def _usable(key: str) -> Column:
@@ -23,9 +23,10 @@ def known_keys(existing: DataFrame, new: DataFrame, key: str = KEY, small_batch:
     """
     batch = new.select(_usable(key).alias(_KNOWN)).filter(F.col(_KNOWN).isNotNull()).distinct()
     held = existing.select(_usable(key).alias(_KNOWN)).filter(F.col(_KNOWN).isNotNull())
-    return held.join(
-        F.broadcast(batch) if small_batch else batch, _KNOWN, "left_semi"
-    ).distinct()
+    if small_batch:
+        return held.join(F.broadcast(batch), _KNOWN, "left_semi").distinct()
+    # Repeats of a held key combine before the shuffle, which then serves the join as well.
+    return held.distinct().join(batch, _KNOWN, "left_semi")
 
 
 def new_only(
@@ -34,17 +35,18 @@ def new_only(
     """Rows of ``new`` whose key is not in ``existing``; rows without a key always pass.
 
     Repeats inside the batch stay. Rows without a key are spread over all partitions by their
-    content instead of meeting in the one that owns the null key.
+    content instead of meeting in the one that owns the null key. The spread is part of the join
+    key: as a column of its own, constant on one side, the optimizer would turn it into a filter.
     """
-    known = known_keys(existing, new, key, small_batch).withColumn(_SPREAD, F.lit(0).cast("long"))
     usable = _usable(key)
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in new.columns])
-    return (
-        new.withColumn(_KNOWN, F.coalesce(usable, F.lit("")))
-        .withColumn(_SPREAD, F.when(usable.isNull(), content).otherwise(F.lit(0).cast("long")))
-        .join(known, [_KNOWN, _SPREAD], "left_anti")
-        .drop(_KNOWN, _SPREAD)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in new.columns]).cast("string")
+    tagged = F.when(usable.isNull(), F.concat(F.lit("spread:"), content)).otherwise(
+        F.concat(F.lit("key:"), usable)
     )
+    known = known_keys(existing, new, key, small_batch).select(
+        F.concat(F.lit("key:"), F.col(_KNOWN)).alias(_KNOWN)
+    )
+    return new.withColumn(_KNOWN, tagged).join(known, _KNOWN, "left_anti").drop(_KNOWN)
 
 
 def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
