@@ -316,6 +316,7 @@ fold_f1 AS (SELECT fold, {_WF1} AS f1 FROM scored GROUP BY fold)"""
 
 # --- Runs -------------------------------------------------------------------------------------
 
+# Displayed scores round the exact binary value, halves to even: what printf does and round() not.
 _RUN_LOG = """
 daily AS (
   SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value) / 100 + 0.5, 6) AS f1,
@@ -330,8 +331,10 @@ runs AS (
 history AS (
   SELECT substr(run_id, 1, 8) AS run_id,
          strftime(make_timestamp_ms(start_time), '%Y-%m-%d %H:%M') AS started,
-         round(f1, 4) AS f1_holdout, CASE WHEN has_cv THEN round(cv, 4) END AS cv_f1_mean,
-         round(f1, 4) AS accuracy, CASE WHEN has_cv THEN round(dummy, 4) ELSE 0 END AS dummy_f1,
+         CAST(printf('%.4f', f1) AS DOUBLE) AS f1_holdout,
+         CASE WHEN has_cv THEN CAST(printf('%.4f', cv) AS DOUBLE) END AS cv_f1_mean,
+         CAST(printf('%.4f', f1) AS DOUBLE) AS accuracy,
+         CASE WHEN has_cv THEN CAST(printf('%.4f', dummy) AS DOUBLE) ELSE 0 END AS dummy_f1,
          CASE WHEN parity = 0 THEN 'logreg' ELSE 'svm' END AS model, n * 5 AS records,
          CASE WHEN cv > 0.7 THEN 'true' ELSE 'false' END AS promoted, '' AS reason, start_time
   FROM runs ORDER BY start_time DESC, runs.run_id LIMIT 20),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from incidentia.functions.rounding import round_score
 from incidentia.schema import LABELS
 
 
@@ -163,7 +164,7 @@ def report_text(report: DataFrame) -> DataFrame:
     """The report as one text, a line per row, for the run log."""
     line = F.format_string(
         "%-14s precision=%.4f recall=%.4f f1=%.4f support=%d",
-        "class", "precision", "recall", "f1", "support",
+        "class", *[round_score(F.col(c)) for c in ("precision", "recall", "f1")], "support",
     )
     order = F.when(F.col("class").isin("accuracy", "macro avg", "weighted avg"), 1).otherwise(0)
     lines = report.select(F.struct(order, F.col("class"), line.alias("line")).alias("entry"))

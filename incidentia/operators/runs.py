@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentia.functions.promotion import should_promote
+from incidentia.functions.rounding import round_score
 
 HISTORY = 20
 # A log row is one training run; one run an hour stays below this for eleven years.
@@ -26,14 +27,14 @@ def run_history(runs: DataFrame, n: int = HISTORY) -> DataFrame:
         return F.coalesce(F.try_element_at(column, F.lit(name)), F.lit(""))
 
     def shown(name: str) -> Column:
-        return F.round(F.coalesce(metric(name), F.lit(0.0)), 4)
+        return round_score(F.coalesce(metric(name), F.lit(0.0)))
 
     records = F.nullif(F.try_element_at("params", F.lit("records_fetched")), F.lit(""))
     return latest_runs(runs, n).select(
         F.substring("run_id", 1, 8).alias("run_id"),
         F.date_format(F.timestamp_millis("start_time"), "yyyy-MM-dd HH:mm").alias("started"),
         shown("f1_weighted").alias("f1_holdout"),
-        F.round(metric("cv_f1_mean"), 4).alias("cv_f1_mean"),
+        round_score(metric("cv_f1_mean")).alias("cv_f1_mean"),
         shown("accuracy").alias("accuracy"),
         shown("dummy_f1_weighted").alias("dummy_f1"),
         text("params", "model_type").alias("model"),

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from incidentia.functions import promotion as PR
+from incidentia.functions.rounding import round_score
 from incidentia.operators import runs as RU
 from incidentia.plans.train import decide_promotion
 from incidentia.schema import RUN
@@ -29,6 +32,16 @@ def test_reason_wording(spark):
     assert reason == "cv_f1_improved (0.8200 vs 0.7800, delta=+0.0400 >= threshold=0.005)"
 
 
+def test_scores_round_like_number_formatting(spark):
+    rng = random.Random(1)
+    values = [0.78975, 0.78125, 0.03125, 0.09375, 1.0, 0.0, 0.00005, 0.00015, -0.78125, -0.00001, 2.34565]
+    values += [rng.random() for _ in range(500)] + [rng.randrange(20_000) / 20_000 for _ in range(2_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(round_score(F.col("x"))).collect()]
+    expected = [round(v, 4) for v in values]
+    assert [g for g, v in zip(got, values) if abs(v) <= 1] == [e for e, v in zip(expected, values) if abs(v) <= 1]
+
+
 def test_champion_scores(spark):
     df = spark.createDataFrame(
         [(0.83, 0.87), (None, 0.75), (0.0, 0.75), (None, None), (0.5, 0.0)], "cv double, f1 double"
