@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from incidentia.llm import decontamination, language, packing, separators, token_orc
+from incidentia.llm import (
+    decontamination,
+    language,
+    packing,
+    quality,
+    separators,
+    sharding,
+    token_orc,
+    url_lists,
+)
 from incidentia.llm.common import Work, unsigned_crc32
 from incidentia.sources.tables import read_table
 
@@ -25,6 +34,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "op2")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = work.table(
+        read_table(spark, sf_dir, "documents").select(
+            F.monotonically_increasing_id().alias("row"),
+            "doc_id",
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            unsigned_crc32(F.col("text")).alias("text_crc32"),
+            # Equal texts are one group.
+            F.md5(F.col("text").cast("binary")).alias("group"),
+        ),
+        "documents",
+    )
+    links = docs.select("row", "group")
+    sharded = sharding.balanced_shards(docs.drop("group"), links, work)
+    return sharding.with_slots(sharded, work).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn(
         "held_out", language.is_held_out(F.col("doc_id"))
@@ -52,6 +88,93 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _number(tag: str, first: int, digits: int):
+    """A number from hexadecimal digits of the page's md5, the same in any engine."""
+    text = F.md5(F.concat(F.lit(tag), F.col("page_id").cast("string")).cast("binary"))
+    return F.conv(F.substring(text, first, digits), 16, 10).cast("long")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, each fetched at a time drawn from its id, over 40 days."""
+    seconds = F.lit(_FIRST) + _number("fetch", 1, 6) % (40 * 86_400)
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", F.timestamp_seconds(seconds).alias("fetched_at"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated list entries drawn from a quarter of the pages, over 30 days.
+
+    A page names its domain, its host or the first step of its path on one of two lists.
+    """
+    pages = read_table(spark, sf_dir, "pages").filter(_number("entry", 1, 2) < 64)
+    host, kind = url_lists.host_of(F.col("url")), _number("entry", 3, 1)
+    step = F.split_part(url_lists.path_of(F.col("url")), F.lit("/"), F.lit(2))
+    pattern = (
+        F.when(kind < 8, F.concat(F.lit("."), host))
+        .when(kind < 12, host)
+        .otherwise(F.concat(host, F.lit("/"), step))
+    )
+    seconds = F.lit(_FIRST) + _number("entry", 5, 6) % (30 * 86_400)
+    return pages.select(
+        F.when(_number("entry", 11, 1) < 8, "ads").otherwise("malware").alias("list"),
+        pattern.alias("pattern"),
+        F.timestamp_seconds(seconds).alias("at"),
+        F.when(_number("entry", 4, 1) < 10, "add").otherwise("remove").alias("action"),
+    )
+
+
+#: 1 January 2024.
+_FIRST = 1_704_067_200
+
+
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_lists.match_lists(captures(spark, sf_dir), list_entries(spark, sf_dir))
+    names = F.transform("matches", lambda m: F.concat(m["list"], F.lit(" "), m["pattern"]))
+    return found.select(
+        F.col("id").alias("page_id"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.concat_ws(",", names).alias("matches"),
+        (F.size("matches") > 0).alias("blocked"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host,
+         regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) AS step,
+         string_split(regexp_extract(url, '://[^/?#]*/([^?#]*)', 1), '/') AS parts,
+         md5('fetch' || page_id) AS f, md5('entry' || page_id) AS e
+  FROM pages),
+captures AS (
+  SELECT *, 1704067200 + ('0x' || f[1:6])::BIGINT % (40 * 86400) AS t FROM p),
+entries AS (
+  SELECT CASE WHEN ('0x' || e[11:11])::BIGINT < 8 THEN 'ads' ELSE 'malware' END AS list,
+         CASE WHEN ('0x' || e[3:3])::BIGINT < 8 THEN '.' || host
+              WHEN ('0x' || e[3:3])::BIGINT < 12 THEN host ELSE host || '/' || step END AS pattern,
+         1704067200 + ('0x' || e[5:10])::BIGINT % (30 * 86400) AS at,
+         ('0x' || e[4:4])::BIGINT >= 10 AS gone
+  FROM p WHERE ('0x' || e[1:2])::BIGINT < 64),
+dated AS (SELECT list, pattern, at, bool_or(gone) AS gone FROM entries GROUP BY ALL),
+asked AS (
+  SELECT DISTINCT page_id, t, unnest(list_concat(
+    [host],
+    list_transform(range(1, len(string_split(host, '.')) + 1),
+                   lambda n: '.' || array_to_string(string_split(host, '.')[n:], '.')),
+    list_transform(range(1, len(list_filter(parts, lambda x: x != '')) + 1),
+                   lambda n: host || '/' || array_to_string(list_filter(parts, lambda x: x != '')[1:n], '/'))
+  )) AS pattern
+  FROM captures),
+latest AS (
+  SELECT page_id, list, pattern, arg_max(gone, at) AS gone
+  FROM asked JOIN dated USING (pattern) WHERE at <= t GROUP BY page_id, list, pattern),
+hits AS (
+  SELECT page_id, count(*) AS n, string_agg(list || ' ' || pattern, ',' ORDER BY list, pattern) AS m
+  FROM latest WHERE NOT gone GROUP BY page_id)
+SELECT page_id, coalesce(n, 0) AS n_matches, coalesce(m, '') AS matches, n IS NOT NULL AS blocked
+FROM pages LEFT JOIN hits USING (page_id)
+"""
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "op7")
     path = work.path("orc")
@@ -60,6 +183,29 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "op8")
+    stats = work.table(
+        quality.with_features(quality.text_statistics(read_table(spark, sf_dir, "documents"))),
+        "statistics",
+    )
+    labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    rules = quality.learn_decision_list(
+        stats.join(labels, "doc_id"), list(quality.FEATURES), F.col("q") == 0, work
+    )
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stats.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & rules.verdict()).alias("kept"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the documents' ids to flat files, counts them there, and names the documents again.
 
@@ -86,4 +232,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op6_url_lists": OP6_SQL}
