@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from incidentia.llm import (
     decontamination,
     language,
+    line_dedup,
+    near_dedup,
     packing,
     quality,
     separators,
@@ -61,6 +63,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "op3")
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), work)
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn(
         "held_out", language.is_held_out(F.col("doc_id"))
@@ -206,6 +214,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "op9")
+    found = line_dedup.alike_lines(read_table(spark, sf_dir, "documents"), work)
+    return found.drop("row")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the documents' ids to flat files, counts them there, and names the documents again.
 
