@@ -187,8 +187,8 @@ def learn_decision_list(
 ) -> DecisionList:
     """Learns rules that cover bad rows from feature columns and a boolean.
 
-    Rows with a null verdict are left out. Thresholds are quantiles of the bad and of the good
-    rows. Rules grow on two thirds of the rows, by information gain, and are pruned on the rest, by
+    Rows with a null verdict are left out. Thresholds lie halfway between quantiles of the bad
+    and of the good rows. Rules grow on two thirds of the rows, by information gain, and are pruned on the rest, by
     a hash of ``key``; a rule must cover ``min_bad`` bad rows there with at least
     ``min_precision`` of what it covers bad. Each step gathers counts per feature and bin, whatever
     the number of rows. No rows, or none that is bad, give an empty list.
@@ -214,12 +214,17 @@ def learn_decision_list(
         "binned",
     )
     rules: list[Rule] = []
-    left = F.lit(True)
+    left, barred = F.lit(True), set()
     while len(rules) < max_rules:
-        tests = _grow(rows.filter(F.col("grow") & left), features, max_conditions)
+        tests = _grow(rows.filter(F.col("grow") & left), features, max_conditions, barred)
+        if not tests:
+            break
+        opening = tests[0][:2]
         tests, n_bad, n_good = _prune(rows.filter(~F.col("grow") & left), tests)
         if n_bad < min_bad or n_bad < min_precision * (n_bad + n_good):
-            break
+            # The next rule opens with another feature.
+            barred.add(opening)
+            continue
         conditions = tuple(Condition(f, up, cuts[f][b]) for f, up, b in tests)
         rules.append(Rule(conditions, n_bad, n_good))
         left = left & ~_all(tests)
@@ -235,7 +240,12 @@ def _thresholds(known: DataFrame, features: list[str], bins: int) -> dict[str, l
     for row in found.collect():
         for f in features:
             cuts[f].update(row[f] or ())
-    return {f: sorted(values) for f, values in cuts.items()}
+    # Halfway between neighbours, so that values like those seen fall clearly on one side.
+    return {f: _between(sorted(values)) for f, values in cuts.items()}
+
+
+def _between(values: list[float]) -> list[float]:
+    return [(a + b) / 2 for a, b in zip(values, values[1:])]
 
 
 def _bin(feature: str, cuts: list[float]) -> Column:
@@ -252,8 +262,13 @@ def _all(tests: list[tuple[str, bool, int]]) -> Column:
     return reduce(Column.__and__, map(_test, tests), F.lit(True))
 
 
-def _grow(rows: DataFrame, features: list[str], most: int) -> list[tuple[str, bool, int]]:
-    """Adds the test with the largest gain until no good row is covered."""
+def _grow(
+    rows: DataFrame, features: list[str], most: int, barred: set[tuple[str, bool]]
+) -> list[tuple[str, bool, int]]:
+    """Adds the test with the largest gain until no good row is covered.
+
+    The first test is of no feature and direction that is ``barred``.
+    """
     tests: list[tuple[str, bool, int]] = []
     while len(tests) < most:
         pairs = F.explode(
@@ -276,7 +291,7 @@ def _grow(rows: DataFrame, features: list[str], most: int) -> list[tuple[str, bo
             for b, cell_p, cell_n in cells[:-1]:
                 below_p, below_n = below_p + cell_p, below_n + cell_n
                 for up, q, m in ((False, below_p, below_n), (True, p - below_p, n - below_n)):
-                    if q:
+                    if q and (tests or (f, up) not in barred):
                         won = q * (math.log2(q / (q + m)) - math.log2(p / (p + n)))
                         if won > gain:
                             best, gain = (f, up, b), won
