@@ -100,20 +100,9 @@ def find_benchmark(
     columns are ignored. Items beyond ``automaton_bytes`` are dealt out over several automata, which
     scan one after another; an empty benchmark covers nothing.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(
-        F.col(item_col).alias("item"), F.col(item_text_col).alias("words")
-    ).filter("words IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = int(-(-total // automaton_bytes)) or 1
-    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
-    # The bound of each broadcast: automaton_bytes on average, by a hash of the items.
-    held = [
-        spark.sparkContext.broadcast([tuple(r) for r in items.filter(block == b).collect()])
-        for b in range(blocks)
-    ]
+    held = _held_items(benchmark, item_col, item_text_col, automaton_bytes)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if blocks == 1:
+    if len(held) == 1:
         return source.mapInArrow(
             _scanner(held[0], window, False), _schema(docs, id_col, benchmark, item_col)
         ).drop("row")
@@ -134,6 +123,47 @@ def find_benchmark(
     return merged.select("doc_id", "n_words", _merged_runs().alias("runs"), "items")
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    automaton_bytes: int = AUTOMATON_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, all columns as they are."""
+    place = docs.columns.index(text_col)
+
+    def clean(held):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(held, window)
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                good = [not automaton.scan(words_of(t))[0] for t in texts]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+        return keep
+
+    for held in _held_items(benchmark, item_col, item_text_col, automaton_bytes):
+        docs = docs.mapInArrow(clean(held), docs.schema)
+    return docs
+
+
+def _held_items(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list:
+    """The items as broadcasts of about ``most`` bytes of text each, dealt out by a hash."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("words"))
+    items = items.filter("words IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = int(-(-total // most)) or 1
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
+    context = benchmark.sparkSession.sparkContext
+    return [
+        context.broadcast([tuple(r) for r in items.filter(block == b).collect()])
+        for b in range(blocks)
+    ]
+
+
 def _schema(docs, id_col, benchmark, item_col) -> T.StructType:
     run = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("first_word", "n_words", "begin", "end")]

@@ -177,3 +177,28 @@ def identify_language(
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         classify, schema
     )
+
+
+def keep_identified(
+    docs: DataFrame,
+    profiles: DataFrame,
+    text_col: str = "text",
+    languages: list[str] | None = None,
+    size: int = PROFILE,
+) -> DataFrame:
+    """The rows of ``docs`` in one of ``languages``, or in any language if none are given.
+
+    Rejected are null texts, texts without a letter and, with ``languages``, texts nearest to another
+    one. All columns stay as they are.
+    """
+    rows = [tuple(r) for r in profiles.limit(MAX_LANGUAGES * size).collect()]
+    held = docs.sparkSession.sparkContext.broadcast(Profiles(rows, size))
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [held.value.classify(t)[0] for t in batch.column(place).to_pylist()]
+            good = [x != UNKNOWN and (languages is None or x in languages) for x in found]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

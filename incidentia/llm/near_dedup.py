@@ -229,3 +229,13 @@ def _classified(signed: DataFrame, classes: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, work: Work, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """``docs`` with the first document of each class only, all columns as they are."""
+    found = near_duplicates(docs, work, id_col, text_col, **options)
+    gone = work.table(found.filter("NOT kept").select(F.col("row").alias("_row")), "gone")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(small(gone, gone.count()), "_row", "left_anti").select(*docs.columns)
