@@ -54,6 +54,19 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def first_by(*columns: str) -> Column:
+    """The least of the columns as a struct, with nulls of the first column last."""
+    return F.min(F.struct(F.col(columns[0]).isNull().alias("_last"), *columns))
+
+
 def unsigned_crc32(column: Column) -> Column:
     """The unsigned CRC-32 of a string's UTF-8 bytes or of bytes; null counts as empty."""
     return F.crc32(F.coalesce(column.cast("binary"), F.lit(b"")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentia.llm.common import Work, small
+from incidentia.llm.common import Work, first_by, fresh, small
 from incidentia.llm.linking import link_buckets
 
 #: Edits up to which lines are alike.
@@ -73,7 +73,7 @@ def alike_lines(
     Lines are cut at ``\\n``, trimmed, and count from ``min_chars`` characters. Equal lines are
     alike, and so are lines of ``fuzzy_chars`` characters or more within ``edits`` insertions,
     deletions and substitutions; links make classes. The first line of a class by id, row and number
-    is kept. Null and empty texts have no such line; an empty table gives no rows. ``row`` is the
+    is kept, null ids last. Null and empty texts have no such line; an empty table gives no rows. ``row`` is the
     place in ``docs``, which should be a table that is read, as it is read several times.
     """
     source = docs.select(
@@ -112,7 +112,7 @@ def alike_lines(
     named = work.table(
         named.select("row", "doc_id", "line_no", F.coalesce("label", "node").alias("label")), "lines"
     )
-    first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
+    first = first_by("doc_id", "row", "line_no").alias("first")
     many = named.groupBy("label").agg(first, F.count("*").alias("n")).filter("n > 1")
     return named.join(many, "label", "left").select(
         "row",
@@ -138,13 +138,13 @@ def drop_repeated_lines(
     """
     gone = alike_lines(docs, work, id_col, text_col, **options).filter("NOT kept")
     gone = work.table(gone.select("row", "line_no"), "gone")
-    lost = gone.groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("_lost"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    lost = small(lost.withColumnRenamed("row", "_row"), gone.count())
-    rows = rows.join(lost, "_row", "left")
-    lines = F.split(text_col, "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains("_lost", i))
-    cut = F.col("_lost").isNotNull()
-    rows = rows.withColumn(text_col, F.when(cut, F.array_join(left, "\n")).otherwise(F.col(text_col)))
+    row, lost = fresh(docs, "_row"), fresh(docs, "_lost")
+    by_row = gone.groupBy(F.col("row").alias(row)).agg(F.collect_list("line_no").alias(lost))
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = rows.join(small(by_row, gone.count()), row, "left")
+    left = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(lost, i))
+    cut = F.col(lost).isNotNull()
+    text = F.when(cut, F.array_join(left, "\n")).otherwise(F.col(text_col))
     kept = ~cut | F.col(text_col).rlike(r"\S")
-    return rows.filter(F.coalesce(kept, F.lit(True))).select(*docs.columns)
+    rows = rows.withColumn(text_col, text).filter(F.coalesce(kept, F.lit(True)))
+    return rows.select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentia.llm.common import Work, id_type, small
+from incidentia.llm.common import Work, first_by, fresh, id_type, small
 from incidentia.llm.decontamination import words_of
 from incidentia.llm.linking import link_buckets
 
@@ -128,7 +128,7 @@ def near_duplicates(
     Words are lower-case runs of letters and digits. Texts of the same words are copies; texts
     without a word are copies if they are equal. Copies, and texts whose shingle sets have at least
     ``similarity``, are linked, and links make classes. ``class_id`` is the least id in the class;
-    ``kept`` marks its first document by id and row. Each null text is a class of its own. A shingle
+    ``kept`` marks its first document by id and row, null ids last. Each null text is a class of its own. A shingle
     weighs one plus the logarithm of its count, which steers the search; the verifying similarity
     counts each shingle once. ``row`` is the place in ``docs``, which should be a table that is
     read: it is read again for the texts that are compared. An empty table gives no rows.
@@ -219,7 +219,7 @@ def _classified(signed: DataFrame, classes: DataFrame) -> DataFrame:
         small(classes, classes.count()), "node", "left"
     )
     rows = rows.select("row", "doc_id", F.coalesce("label", "node").alias("label"))
-    first = F.min(F.struct("doc_id", "row")).alias("first")
+    first = first_by("doc_id", "row").alias("first")
     many = rows.filter("label IS NOT NULL").groupBy("label").agg(first, F.count("*").alias("n"))
     many = many.filter("n > 1")
     return rows.join(many, "label", "left").select(
@@ -236,6 +236,7 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with the first document of each class only, all columns as they are."""
     found = near_duplicates(docs, work, id_col, text_col, **options)
-    gone = work.table(found.filter("NOT kept").select(F.col("row").alias("_row")), "gone")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(small(gone, gone.count()), "_row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "_row")
+    gone = work.table(found.filter("NOT kept").select(F.col("row").alias(row)), "gone")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    return rows.join(small(gone, gone.count()), row, "left_anti").select(*docs.columns)

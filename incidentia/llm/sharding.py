@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentia.llm.common import Work, small
+from incidentia.llm.common import Work, fresh, small
 
 SHARDS = 8
 ROUNDS = 10
@@ -29,14 +29,16 @@ def balanced_shards(
 ) -> DataFrame:
     """Adds ``shard`` to ``docs`` (row, size, ...), a written table with unique non-null ``row``.
 
+    Further columns stay, but for one named ``shard``.
     ``links`` holds (row, group): rows of one group are linked, a row may be in several groups.
     Groups of one row and null groups link nothing. Sizes are positive; shard sizes end within about
     a thousandth of each other, or the largest document's size if that is more, however large a
     group is: a group beyond a shard's quota is split. An empty table gives no rows.
     """
+    docs = docs.drop("shard")
     total, count = docs.agg(F.sum("size"), F.count("*")).first()
     if not count:
-        return docs.withColumn("shard", F.lit(0))
+        return docs.withColumn("shard", F.lit(0))  # no rows
     members = links.filter("group IS NOT NULL").dropDuplicates(["row", "group"])
     sizes = members.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
     # Salts spread the members of a large group over tasks; its sizes are copied to each.
@@ -142,11 +144,12 @@ def _round(members, groups, many, quota, shards, number, work):
 
 def _filled(docs, linked, total, shards, work):
     """Gives the rows without a link to the shards that have room."""
+    spot, one, heap = (fresh(docs, c) for c in ("_place", "_one", "_heap"))
     placed = docs.join(linked, "row", "left")
     large = total / shards / LARGE
     place = F.pmod(F.xxhash64(F.lit("fill"), F.col("row")), F.lit(FILL_PLACES)).cast("int")
     placed = work.table(
-        placed.withColumn("_place", F.when(F.col("shard").isNull() & (F.col("size") <= large), place)),
+        placed.withColumn(spot, F.when(F.col("shard").isNull() & (F.col("size") <= large), place)),
         "placed",
     )
     work.drop(linked)
@@ -154,44 +157,45 @@ def _filled(docs, linked, total, shards, work):
     for r in placed.filter("shard IS NOT NULL").groupBy("shard").agg(F.sum("size").alias("n")).collect():
         loads[r["shard"]] = r["n"]
     # Fewer than shards x LARGE rows can be this large.
-    big = placed.filter("shard IS NULL AND _place IS NULL").select("row", "size").collect()
+    big = placed.filter(F.col("shard").isNull() & F.col(spot).isNull()).select("row", "size").collect()
     chosen = []
     for r in sorted(big, key=lambda r: (-r["size"], r["row"])):
         at = loads.index(min(loads))
         loads[at] += r["size"]
         chosen.append((r["row"], at))
-    fill = placed.filter("_place IS NOT NULL").groupBy("_place").agg(F.sum("size").alias("n"))
+    fill = placed.filter(F.col(spot).isNotNull()).groupBy(spot).agg(F.sum("size").alias("n"))
     # At most FILL_PLACES rows.
-    heaps = sorted((r["n"], r["_place"]) for r in fill.collect())
+    heaps = sorted((r["n"], r[spot]) for r in fill.collect())
     slots = []
     for n, at_place in reversed(heaps):
         at = loads.index(min(loads))
         loads[at] += n
         slots.append((at_place, at))
     spark = docs.sparkSession
-    by_row = spark.createDataFrame(chosen, "row long, _big int")
-    by_place = spark.createDataFrame(slots, "_place int, _heap int")
+    by_row = spark.createDataFrame(chosen, f"row long, {one} int")
+    by_place = spark.createDataFrame(slots, f"{spot} int, {heap} int")
     return (
         placed.join(F.broadcast(by_row), "row", "left")
-        .join(F.broadcast(by_place), "_place", "left")
-        .withColumn("shard", F.coalesce("shard", "_big", "_heap"))
-        .drop("_place", "_big", "_heap")
+        .join(F.broadcast(by_place), spot, "left")
+        .withColumn("shard", F.coalesce("shard", one, heap))
+        .drop(spot, one, heap)
     )
 
 
 def with_slots(sharded: DataFrame, work: Work, places: int = 256) -> DataFrame:
     """Adds ``slot``: the rows of a shard from 0 without gaps, ordered by a hash of ``row``."""
+    spot, number, start = (fresh(sharded, c) for c in ("_place", "_number", "_from"))
     place = F.pmod(F.xxhash64(F.lit("slot"), F.col("row")), F.lit(places)).cast("int")
-    rows = work.table(sharded.withColumn("_place", place), "slotless")
-    counts = rows.groupBy("shard", "_place").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = work.table(sharded.withColumn(spot, place), "slotless")
+    counts = rows.groupBy("shard", spot).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(spot).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "shard", "_place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from")
+        "shard", spot, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start)
     )
-    inside = Window.partitionBy("shard", "_place").orderBy("row")
+    inside = Window.partitionBy("shard", spot).orderBy("row")
     return (
-        rows.withColumn("_number", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["shard", "_place"])
-        .withColumn("slot", F.col("_from") + F.col("_number") - 1)
-        .drop("_place", "_from", "_number")
+        rows.withColumn(number, F.row_number().over(inside))
+        .join(F.broadcast(offsets), ["shard", spot])
+        .withColumn("slot", F.col(start) + F.col(number) - 1)
+        .drop(spot, number, start)
     )
