@@ -165,7 +165,7 @@ vocab AS MATERIALIZED (
 
 
 _WEIGHTS = (
-    _vocab(5_000)
+    _vocab(50_000)
     + """,
 raw_weights AS (
   SELECT report_number, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
@@ -486,13 +486,15 @@ FROM cleaned LEFT JOIN grams USING (report_number) GROUP BY report_number""",
     )
     q["truncate_tokens"] = _with(
         REPORTS,
-        """SELECT report_number, array_to_string(list_slice(ws, 1, 256), ' ') AS kept,
-  len(ws) > 256 AS is_truncated
-FROM (SELECT report_number, string_split(narrative_text, ' ') AS ws FROM reports)""",
+        f"""SELECT report_number, array_to_string(list_slice(ws, 1, 254), ' ') AS kept,
+  len(ws) > 254 AS is_truncated
+FROM (SELECT report_number, string_split(lower({_letters(_CHAIN, "a-zA-Z0-9")}), ' ') AS ws
+      FROM reports)""",
     )
     q["truncation_rate"] = _with(
         REPORTS,
-        """SELECT round(avg(CAST(len(string_split(narrative_text, ' ')) > 256 AS INTEGER)), 6)
+        f"""SELECT round(avg(CAST(
+    len(string_split(lower({_letters(_CHAIN, "a-zA-Z0-9")}), ' ')) > 254 AS INTEGER)), 6)
   AS truncation_rate FROM reports""",
     )
 
@@ -518,7 +520,7 @@ FROM shown WHERE r = 1 OR narrative_text = '' GROUP BY 1""",
         _RAW,
         "SELECT * EXCLUDE (page_no) FROM (SELECT * FROM parsed ORDER BY page_no LIMIT 500)",
     )
-    q["head_rows"] = "SELECT * EXCLUDE (text) FROM documents ORDER BY doc_id LIMIT 5"
+    q["head_rows"] = "SELECT * FROM documents ORDER BY doc_id LIMIT 5"
 
     # Labels, filters, exploring
     q["drop_unknown"] = _with(
@@ -621,6 +623,29 @@ WHERE report_number = '' OR report_number NOT IN (SELECT report_number FROM held
 
     # Splits
     q["stratified_split"] = _with(_SPLIT, "SELECT * FROM split")
+    q["stratified_split_repeated_keys"] = _with(
+        INCOMING,
+        """, sizes AS (
+  SELECT severity_label, count(*) AS n, sum(count(*)) OVER () AS n_all
+  FROM incoming GROUP BY 1),
+drawn AS (
+  SELECT *, n_all - ceil(CAST(0.2 AS DOUBLE) * n_all) AS draws,
+    n / CAST(n_all AS DOUBLE) * (n_all - ceil(CAST(0.2 AS DOUBLE) * n_all)) AS share FROM sizes),
+placed AS (
+  SELECT *, floor(share) AS base, draws - sum(floor(share)) OVER () AS missing,
+    row_number() OVER (ORDER BY share - floor(share) DESC, severity_label) AS place FROM drawn),
+quota AS (
+  SELECT severity_label, n, CAST(base AS BIGINT) + (place <= missing)::BIGINT AS train FROM placed)
+SELECT severity_label, side, CASE side WHEN 0 THEN train ELSE n - train END AS n
+FROM quota, (SELECT unnest([0, 1])::INTEGER AS side)""",
+    )
+    q["kfold_repeated_keys"] = _with(
+        INCOMING,
+        """SELECT severity_label, side, count(*) AS n
+FROM (SELECT severity_label,
+        ((row_number() OVER (ORDER BY severity_label) - 1) % 5)::INTEGER AS side FROM incoming)
+GROUP BY 1, 2""",
+    )
     q["kfold_assign"] = _with(_FOLDS, "SELECT * FROM folded")
     q["positional_split"] = """
 SELECT doc_id, row_number() OVER (ORDER BY doc_id)
@@ -706,7 +731,7 @@ HAVING count(*) >= 3
   AND count(*) <= CAST(0.95 AS DOUBLE) * (SELECT count(*) FROM cleaned)""",
     )
     q["vocabulary_topk"] = _with(
-        _vocab(5_000), "SELECT term, df, cf, round(idf, 6) AS idf FROM vocab"
+        _vocab(50_000), "SELECT term, df, cf, round(idf, 6) AS idf FROM vocab"
     )
     q["sublinear_idf"] = _with(
         _vocab(50_000),
@@ -729,7 +754,7 @@ CROSS JOIN (SELECT unnest({_list(LABELS)}) AS label, unnest(range(5)) AS c) l
 LEFT JOIN sums USING (report_number, label)""",
     )
     q["top_terms_per_class"] = _with(
-        _vocab(5_000)
+        _vocab(50_000)
         + f""",
 coefs AS (SELECT label, term, round(coef, 6) AS coef FROM ({_rule_coefficients(" * idf")}))""",
         """SELECT * FROM (

@@ -190,7 +190,7 @@ def ngrams(spark, sf):
 
 @query
 def truncate_tokens(spark, sf):
-    text = F.col("narrative_text")
+    text = TX.clean_text(F.col("narrative_text"), preserve_digits=True)
     return TB.reports(spark, sf).select(
         "report_number",
         F.array_join(TX.truncate_tokens(text), " ").alias("kept"),
@@ -200,7 +200,8 @@ def truncate_tokens(spark, sf):
 
 @query
 def truncation_rate(spark, sf):
-    flag = TX.is_truncated(F.col("narrative_text")).cast("double")
+    text = TX.clean_text(F.col("narrative_text"), preserve_digits=True)
+    flag = TX.is_truncated(text).cast("double")
     return TB.reports(spark, sf).agg(rounded(F.avg(flag)).alias("truncation_rate"))
 
 
@@ -263,7 +264,7 @@ def source_bounded_prefix(spark, sf):
 
 @query
 def head_rows(spark, sf):
-    return FI.head_rows(TB.read_table(spark, sf, "documents").drop("text"), "doc_id")
+    return FI.head_rows(TB.read_table(spark, sf, "documents"), "doc_id")
 
 
 # --- Labels, filters, exploring ---------------------------------------------------------------
@@ -338,8 +339,8 @@ def literal_search(spark, sf):
 @query
 def explore_filter(spark, sf):
     """Browsing the stored table of cleaned reports."""
-    stored = written_table(cleaned(spark, sf).drop("narrative_text"), "cleaned")
-    return EX.explore_view(stored, labels=["D", "M"], term="patient|the ")
+    rows = cleaned(spark, sf).drop("narrative_text")
+    return EX.explore_view(rows, labels=["D", "M"], term="patient|the ")
 
 
 @query
@@ -427,6 +428,22 @@ def stratified_split(spark, sf):
     return SP.stratified_split(labelled(spark, sf))
 
 
+def _side_counts(rows: DataFrame, side: Column) -> DataFrame:
+    return rows.groupBy("severity_label", side.alias("side")).agg(F.count("*").alias("n"))
+
+
+@query
+def stratified_split_repeated_keys(spark, sf):
+    """Rows per label and side where numbers are blank, missing or repeated."""
+    rows = SP.stratified_split(TB.incoming(spark, sf))
+    return _side_counts(rows, F.col("is_test").cast("int"))
+
+
+@query
+def kfold_repeated_keys(spark, sf):
+    return _side_counts(SP.kfold_assign(TB.incoming(spark, sf), 5), F.col("fold").cast("int"))
+
+
 @query
 def kfold_assign(spark, sf):
     rows = SP.kfold_assign(labelled(spark, sf), 5)
@@ -548,9 +565,9 @@ def _n_docs(spark: SparkSession, sf: str) -> Column:
     return FE.document_count(text_rows(spark, sf)).scalar()
 
 
-def _vocabulary(spark: SparkSession, sf: str, max_features: int) -> DataFrame:
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     stats = FE.term_stats(FE.term_frequency(text_rows(spark, sf)))
-    return FE.vocabulary(stats, _n_docs(spark, sf), max_features=max_features)
+    return FE.vocabulary(stats, _n_docs(spark, sf))
 
 
 @query
@@ -574,13 +591,13 @@ def document_frequency(spark, sf):
 
 @query
 def vocabulary_topk(spark, sf):
-    return _vocabulary(spark, sf, 5_000).select("term", "df", "cf", rounded("idf").alias("idf"))
+    return _vocabulary(spark, sf).select("term", "df", "cf", rounded("idf").alias("idf"))
 
 
 @query
 def sublinear_idf(spark, sf):
     """Term statistics and both weight factors for the largest vocabulary."""
-    return _vocabulary(spark, sf, 50_000).select(
+    return _vocabulary(spark, sf).select(
         "term",
         rounded(FE.sublinear(F.col("cf"))).alias("log_cf"),
         rounded("idf").alias("idf"),
@@ -590,7 +607,7 @@ def sublinear_idf(spark, sf):
 @query
 def tfidf_weights(spark, sf):
     rows = text_rows(spark, sf)
-    space = FE.TermSpace.fit(_vocabulary(spark, sf, 5_000))
+    space = FE.TermSpace.fit(_vocabulary(spark, sf))
     return FE.tfidf_weights(rows, space).select(
         "report_number", "term", rounded("weight").alias("weight")
     )
@@ -603,21 +620,20 @@ def rule_coefficient(term: Column, label: str) -> Column:
 
 @query
 def linear_score(spark, sf):
-    vocab = written_table(_vocabulary(spark, sf, 5_000), "vocabulary")
+    vocab = _vocabulary(spark, sf)
     rows = text_rows(spark, sf)
-    weights = FE.tfidf_weights(rows, FE.TermSpace.fit(vocab))
     coefficients = vocab.select(
         "term", F.array(*[rule_coefficient(F.col("term"), lb) for lb in LABELS]).alias("coef")
     )
     intercepts = {label: 0.1 * i for i, label in enumerate(LABELS)}
-    return LI.linear_scores(rows, weights, coefficients, intercepts).select(
+    return LI.linear_scores(rows, FE.TermSpace.fit(vocab), coefficients, intercepts).select(
         "report_number", "label", rounded("score").alias("score")
     )
 
 
 @query
 def top_terms_per_class(spark, sf):
-    vocab = _vocabulary(spark, sf, 5_000)
+    vocab = _vocabulary(spark, sf)
     # The rule's coefficients repeat; the document frequency tells them apart.
     entries = F.array(
         *[
@@ -791,10 +807,6 @@ def dashboard_totals(spark, sf):
 
 # --- Fitted models (no SQL counterpart) -------------------------------------------------------
 
-# Settings of the repeated fits: a smaller vocabulary, the whole table.
-SMALL = {"max_features": 2_000, "max_iter": 50}
-
-
 def stored_training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Training rows as a table: every step of fitting reads them again."""
     return written_table(training_rows(spark, sf), "training")
@@ -809,34 +821,31 @@ def fit_logreg(spark, sf):
 
 @query
 def predict_scores(spark, sf):
-    rows = stored_training_rows(spark, sf)
-    model = MO.fit_text_model(rows, MO.Params(**SMALL))
-    return model.transform(rows).select(
+    parts = written_table(SP.stratified_split(training_rows(spark, sf)), "split")
+    model = MO.fit_text_model(parts.filter("NOT is_test"))
+    return model.transform(parts.filter("is_test")).select(
         "report_number", "severity_label", "predicted_label", "probabilities"
     )
 
 
 @query
 def fit_svm(spark, sf):
-    rows = stored_training_rows(spark, sf)
-    model = MO.fit_text_model(rows, MO.Params("svm", **SMALL))
-    return model.transform(rows).select(
+    parts = written_table(SP.stratified_split(training_rows(spark, sf)), "split")
+    model = MO.fit_text_model(parts.filter("NOT is_test"), MO.Params("svm"))
+    return model.transform(parts.filter("is_test")).select(
         "report_number", "severity_label", "predicted_label", "decision_scores"
     )
 
 
 @query
 def cross_validate_logreg(spark, sf):
-    return MO.cross_validate(stored_training_rows(spark, sf), MO.Params(**SMALL))
+    return MO.cross_validate(stored_training_rows(spark, sf))
 
 
 @query
 def grid_search(spark, sf):
-    """Mean score of every setting of a reduced grid."""
-    grid = MO.param_grid(
-        grid={"ngram_range": [(1, 1), (1, 2)], "max_features": [2_000], "C": [0.1, 1.0]}, max_iter=50
-    )
-    return MO.grid_scores(stored_training_rows(spark, sf), grid, n_splits=3)
+    """Mean score of every setting of the grid."""
+    return MO.grid_scores(stored_training_rows(spark, sf), MO.param_grid())
 
 
 @query
@@ -855,9 +864,7 @@ def embedding_head_cv(spark, sf):
 @query
 def training_job(spark, sf):
     store = ModelStore(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    result = train_job(
-        TB.reports(spark, sf), store, remove_unknown=True, n_splits=3, params=MO.Params(**SMALL)
-    )
+    result = train_job(TB.reports(spark, sf), store, remove_unknown=True)
     names = ["training_records", "accuracy", "f1_weighted", "cv_f1_mean", "promoted"]
     return spark.createDataFrame(
         [tuple(result[n] for n in names)],

@@ -56,7 +56,7 @@ _WORD = r"[\p{L}\p{N}_]"
 
 # Every boilerplate phrase holds one of these fragments. They have no letter with a non-ASCII case
 # partner (i, k, s do), so matching ASCII case alone never misses a phrase.
-_BOILERPLATE_FRAGMENT = "(?i)re(?:port|ce|que)|formation"
+_BOILERPLATE_FRAGMENT = "(?i)re(?:port|ce|que)|forma"
 # Letters that no boilerplate match can swallow: the phrases do not contain them, and the one
 # wildcard stands after a "w".
 _LASTING_LETTER = "(?<![wW])[jkxyzJKXYZ][^jkxyzJKXYZ]*+"
@@ -199,10 +199,14 @@ def ngrams(tokens: Column, ngram_range: tuple[int, int] = NGRAM_RANGE) -> Column
     return let(tokens, runs)
 
 
+# Places of a sequence that its opening and closing marks take.
+RESERVED_TOKENS = 2
+
+
 def truncate_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """First ``max_tokens`` blank-separated tokens."""
-    return F.slice(F.split(text, " "), 1, max_tokens)
+    """The tokens of a cleaned text that fit a sequence beside its two marks."""
+    return F.slice(F.split(text, " "), 1, max_tokens - RESERVED_TOKENS)
 
 
 def is_truncated(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    return F.size(F.split(text, " ")) > max_tokens
+    return F.size(F.split(text, " ")) > max_tokens - RESERVED_TOKENS

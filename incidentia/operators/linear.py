@@ -7,43 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentia.functions.arrays import argmax, softmax
+from incidentia.functions.arrays import argmax, softmax, total
 from incidentia.functions.labels import label_name
+from incidentia.operators.features import TermSpace
 
 TOP_TERMS = 15
 
 
+def _times(k: int):
+    """A weight times the term's coefficient for class ``k``."""
+    return lambda index, weight: weight * F.get(F.get(F.col("coef"), index), F.lit(k))
+
+
 def linear_scores(
     docs: DataFrame,
-    weights: DataFrame,
+    space: TermSpace,
     coefficients: DataFrame,
     intercepts: dict[str, float],
     key_col: str = "report_number",
+    text_col: str = "clean_text",
 ) -> DataFrame:
     """``(key, label, score)``: weighted term sums plus intercept for each document and class.
 
-    ``coefficients(term, coef)`` holds one array per term, in the order of ``intercepts``; it is
-    bounded by the vocabulary and broadcast. The per-document sums combine before the shuffle.
-    Documents without a known term get the intercepts.
+    ``coefficients(term, coef)`` holds one array per term, in the order of ``intercepts``; terms of
+    the space without one count as zero. The table, bounded by the vocabulary, reaches the rows as
+    a scalar; each row's sums are made inside the row, so missing and repeated keys stay apart and
+    no document is shuffled. Documents without a known term get the intercepts.
     """
-    labels = list(intercepts)
-    sums = (
-        weights.join(F.broadcast(coefficients), "term")
-        .groupBy(key_col)
-        .agg(*[F.sum(F.col("weight") * F.col("coef")[i]).alias(f"s{i}") for i in range(len(labels))])
+    nothing = F.array(*[F.lit(0.0)] * len(intercepts))
+    by_index = (
+        space.term_table(docs.sparkSession)
+        .join(coefficients, "term", "left")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("index", F.coalesce("coef", nothing).alias("coef")))
+            ).alias("c")
+        )
+        .select(F.transform("c", lambda x: x["coef"]))
+        .scalar()
     )
+    parts = F.unwrap_udt("features")
     per_class = F.array(
         *[
             F.struct(
                 F.lit(label).alias("label"),
-                (F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(float(intercepts[label]))).alias(
-                    "score"
-                ),
+                (
+                    total(
+                        F.zip_with("indices", "values", _times(k))
+                    )
+                    + F.lit(float(intercept))
+                ).alias("score"),
             )
-            for i, label in enumerate(labels)
+            for k, (label, intercept) in enumerate(intercepts.items())
         ]
     )
-    return docs.select(key_col).join(sums, key_col, "left").select(key_col, F.inline(per_class))
+    return (
+        space.transform(docs.select(key_col, text_col), text_col)
+        .select(key_col, parts["indices"].alias("indices"), parts["values"].alias("values"))
+        .withColumn("coef", by_index)
+        .select(key_col, F.inline(per_class))
+    )
 
 
 def score_map(labels: Column, values: Column) -> Column:

@@ -14,24 +14,18 @@ def _usable(key: str) -> Column:
     return F.nullif(F.col(key).cast("string"), F.lit(""))
 
 
-def known_keys(existing: DataFrame, new: DataFrame, key: str = KEY, small_batch: bool = False):
+def known_keys(existing: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:
     """Keys of ``new`` that ``existing`` already holds.
 
-    The accumulated table is far larger than a batch. With ``small_batch`` the caller vouches (by
-    a count) that the batch's distinct keys fit a broadcast, and the big table is then only
-    scanned for its key column, not shuffled.
+    The accumulated table is scanned for its key column and reduced to the batch's keys first;
+    adaptive execution broadcasts those if they are few.
     """
     batch = new.select(_usable(key).alias(_KNOWN)).filter(F.col(_KNOWN).isNotNull()).distinct()
     held = existing.select(_usable(key).alias(_KNOWN)).filter(F.col(_KNOWN).isNotNull())
-    if small_batch:
-        return held.join(F.broadcast(batch), _KNOWN, "left_semi").distinct()
-    # Repeats of a held key combine before the shuffle, which then serves the join as well.
-    return held.distinct().join(batch, _KNOWN, "left_semi")
+    return held.join(batch, _KNOWN, "left_semi").distinct()
 
 
-def new_only(
-    existing: DataFrame, new: DataFrame, key: str = KEY, small_batch: bool = False
-) -> DataFrame:
+def new_only(existing: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``; rows without a key always pass.
 
     Repeats inside the batch stay. Rows without a key are spread over all partitions by their
@@ -43,7 +37,7 @@ def new_only(
     tagged = F.when(usable.isNull(), F.concat(F.lit("spread:"), content)).otherwise(
         F.concat(F.lit("key:"), usable)
     )
-    known = known_keys(existing, new, key, small_batch).select(
+    known = known_keys(existing, new, key).select(
         F.concat(F.lit("key:"), F.col(_KNOWN)).alias(_KNOWN)
     )
     return new.withColumn(_KNOWN, tagged).join(known, _KNOWN, "left_anti").drop(_KNOWN)
@@ -53,11 +47,9 @@ def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def merge_and_dedup(
-    existing: DataFrame, new: DataFrame, key: str = KEY, small_batch: bool = False
-) -> DataFrame:
+def merge_and_dedup(existing: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:
     """``existing`` followed by the truly new rows of ``new``."""
-    return append_rows(existing, new_only(existing, new, key, small_batch))
+    return append_rows(existing, new_only(existing, new, key))
 
 
 def count_new(existing: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:

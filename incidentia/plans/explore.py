@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentia.functions.text import clean_text
+from incidentia.functions.text import clean_text, strip
 from incidentia.operators.filters import display_columns, search, with_labels
 from incidentia.operators.models import TextModel
 from incidentia.sources.reports import write_csv
@@ -38,7 +38,7 @@ def score_reports(
 ) -> DataFrame:
     """Predicted label and class scores of raw narratives; blank ones are left out."""
     cleaned = reports.withColumn("clean_text", clean_text(F.col(text_col)))
-    return model.transform(cleaned.filter(F.coalesce(F.length(F.trim(text_col)), F.lit(0)) > 0))
+    return model.transform(cleaned.filter(F.coalesce(F.length(strip(F.col(text_col))), F.lit(0)) > 0))
 
 
 def severity_overview(cleaned: DataFrame) -> DataFrame:

@@ -10,13 +10,16 @@ from incidentia.schema import PAGE_LIMIT
 
 
 def page_number(file_name: Column) -> Column:
-    """Last run of digits in a page file's name."""
-    return F.regexp_extract(file_name, r"(\d+)\D*$", 1).cast("long")
+    """Last run of digits in a page file's name; null if it has none."""
+    return F.regexp_extract(file_name, r"(\d+)\D*$", 1).try_cast("long")
 
 
 def explode_pages(pages: DataFrame, body: str = "value", page: str = "page_no") -> DataFrame:
-    """One row ``(page_no, pos, record)`` per report of each page; empty pages give none."""
-    results = F.try_variant_get(F.try_parse_json(F.col(body)), "$.results", "array<variant>")
+    """One row ``(page_no, pos, record)`` per report of each page; empty pages give none.
+
+    A body that is no JSON fails, as a page that was cut short has lost reports.
+    """
+    results = F.try_variant_get(F.parse_json(F.col(body)), "$.results", "array<variant>")
     return pages.select(F.col(page).alias("page_no"), F.posexplode(results).alias("pos", "record"))
 
 

@@ -6,7 +6,9 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from incidentia.functions.promotion import champion_score
 from incidentia.schema import CHAMPION, RUN
 from incidentia.sources.reports import path_exists
 
@@ -25,8 +27,9 @@ def champion_metrics(spark: SparkSession, path: str) -> dict:
 
 def champion_f1(spark: SparkSession, path: str) -> float:
     """Cross-validated F1 of the champion, hold-out F1 in its place, zero without a champion."""
-    record = champion_metrics(spark, path)
-    return record.get("cv_f1_mean") or record.get("f1_weighted") or 0.0
+    score = champion_score(F.col("cv_f1_mean"), F.col("f1_weighted")).alias("score")
+    row = champion_table(spark, path).select(score).first()
+    return row["score"] if row else 0.0
 
 
 def save_champion(spark: SparkSession, metrics: dict, path: str) -> None:

@@ -15,9 +15,6 @@ from incidentia.session import Scratch
 from incidentia.sources.pages import explode_pages, page_number
 from incidentia.sources.reports import load_accumulated, save_accumulated
 
-# Batches of at most this many rows have their keys broadcast when compared with the table.
-SMALL_BATCH_ROWS = 1_000_000
-
 
 @dataclass
 class IngestSummary:
@@ -50,8 +47,7 @@ def add_batch(
             ~F.col("batch_id").eqNullSafe(batch_id)
         )
         rows = dedup_batch(batch) if dedup_within else batch
-        added = new_only(existing, rows, small_batch=returned <= SMALL_BATCH_ROWS)
-        added = scratch.table(added, "added")
+        added = scratch.table(new_only(existing, rows), "added")
         save_accumulated(added, accumulated_path, batch_id)
         return returned, added.count()
 

@@ -120,18 +120,25 @@ def test_save_and_load(spark, rows, model, tmp_path):
 
 
 def test_scores_equal_the_relational_form(spark, rows, model):
-    weights = FE.tfidf_weights(rows, model.space)
     by_term = model.coefficients(spark).groupBy("term").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "coef"))).alias("m")
     )
     packed = by_term.select("term", F.array(*[F.col("m")[lb] for lb in model.labels]).alias("coef"))
     intercepts = dict(zip(model.labels, model.head.intercepts()))
-    relational = LI.linear_scores(rows, weights, packed, intercepts)
+    relational = LI.linear_scores(rows, model.space, packed, intercepts)
     best = relational.groupBy("report_number").agg(F.max_by("label", "score").alias("best"))
     direct = model.transform(rows).select("report_number", "predicted_label")
     assert best.join(direct, "report_number").filter("best <> predicted_label").count() == 0
 
 
+def test_rows_of_one_key_are_scored_apart(spark, rows, model):
+    text = rows.first()["clean_text"]
+    docs = spark.createDataFrame([("k", text), ("k", text), (None, text)], "report_number string, clean_text string")
+    coefficients = spark.createDataFrame([(t, [1.0]) for t in model.space.terms], "term string, coef array<double>")
+    scores = [r["score"] for r in LI.linear_scores(docs, model.space, coefficients, {"D": 0.5}).collect()]
+    assert len(scores) == 3 and len(set(scores)) == 1 and scores[0] > 0.5
+
+
 def test_svm(rows):
     svm = MO.fit_text_model(rows, MO.Params("svm", **QUICK))
     scored = svm.transform(rows)
