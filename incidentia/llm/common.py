@@ -35,6 +35,13 @@ class Work:
         df.write.parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+        """The written table, with its ``rows`` and further sums, read from what was written."""
+        table = self.table(df, name)
+        counts = {"rows": F.count(F.lit(1))} | counts
+        found = table.agg(*(c.alias(n) for n, c in counts.items())).first()
+        return table, {n: found[n] or 0 for n in counts}
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             for file in table.inputFiles()[:1]:

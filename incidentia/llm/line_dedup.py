@@ -35,27 +35,33 @@ def lines_of(source: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def probes(line: Column, edits: int) -> Column:
-    """Substrings of a line as (bucket, own): ``own`` marks the line's own indexed segments."""
-    length = F.length(line)
+def coded(line: Column) -> Column:
+    """Four bytes a character, so that a substring is found without reading what is before it."""
+    return F.encode(line, "UTF-32")
+
+
+def probes(code: Column, length: Column, edits: int) -> Column:
+    """The buckets of a line's substrings; an odd number marks one of its own indexed segments.
+
+    ``code`` is the coded line and ``length`` its characters.
+    """
     parts = edits + 1
     found = []
     for shorter in range(edits + 1):
         indexed = length - shorter
-        base, longer = F.floor(indexed / parts), indexed % parts
+        base, longer = (indexed / parts).cast("int"), indexed % parts
         for i in range(parts):
             # The last segments are one longer; segment i of the indexed line starts here, from 0.
-            size = base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-            start = base * i + F.greatest(F.lit(0), i - (parts - longer))
+            size = base + (longer >= parts - i).cast("int")
+            start = base * i + F.greatest(F.lit(0), longer + (i - parts))
             lowest = max(-i, shorter - (edits - i))
             highest = min(i, shorter + (edits - i))
             for move in range(lowest, highest + 1):
                 at = start + move
-                piece = F.substring(line, (at + 1).cast("int"), size.cast("int"))
-                fits = (at >= 0) & (at + size <= length)
-                bucket = F.xxhash64(F.lit(i), indexed, piece)
-                own = F.lit(shorter == 0 and move == 0)
-                found.append(F.when(fits, F.struct(bucket.alias("bucket"), own.alias("own"))))
+                piece = F.substring(code, at * 4 + 1, size * 4)
+                own = int(shorter == 0 and move == 0)
+                bucket = F.xxhash64(F.lit(i), indexed, piece).bitwiseAND(-2).bitwiseOR(own)
+                found.append(F.when((at >= 0) & (at + size <= length), bucket))
     return F.array(*found)
 
 
@@ -83,31 +89,35 @@ def alike_lines(
     )
     lines = lines_of(source, min_chars)
     fuzzy = lines.filter(F.length("line") >= fuzzy_chars)
-    probed = fuzzy.select("node", F.explode(probes(F.col("line"), edits)).alias("x"))
-    probed = probed.filter("x IS NOT NULL").select("node", "x.bucket", "x.own")
+    code = coded(F.col("line"))
+    keyed = fuzzy.select("node", code.alias("code"), F.length("line").alias("length"))
+    keys = probes(F.col("code"), F.col("length"), edits)
+    # Read twice: it is smaller than the text, and costs more to make than to keep.
+    keyed = work.table(keyed.select("node", keys.alias("keys")), "keys")
+    probed = keyed.select("node", F.explode("keys").alias("x")).filter("x IS NOT NULL")
+    probed = probed.select(
+        "node", F.col("x").bitwiseAND(-2).alias("bucket"), (F.col("x") % 2 != 0).alias("own")
+    )
     # Partial results shrink the copies of a line before the shuffle.
     live = probed.groupBy("bucket").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("own").alias("own")
     )
-    live = work.table(live.filter("own AND lo < hi").select("bucket"), "live")
-    members = probed.select("node", "bucket").join(small(live, live.count()), "bucket").distinct()
+    live, seen = work.counted(live.filter("own AND lo < hi").select("bucket"), "live")
+    members = probed.select("node", "bucket").join(small(live, seen["rows"]), "bucket").distinct()
     members = work.table(members, "members")
-    nodes = work.table(members.select("node").distinct(), "nodes")
-    texts = fuzzy.select("node", "line").join(small(nodes, nodes.count()), "node")
-    texts = work.table(texts.groupBy("node").agg(F.min("line").alias("line")), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("node").alias("a"), F.col("line").alias("x"))
-        two = texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
-        both = pairs.join(one, "a").join(two, "b")
-        near = F.abs(F.length("x") - F.length("y")) <= edits
-        return both.filter(near & (F.levenshtein("x", "y", edits) >= 0)).select("a", "b")
-
-    _, classes = link_buckets(members, verify, work)
-    classes = work.table(classes, "classes")
-    work.drop(texts, nodes, members, live)
+    nodes, seen = work.counted(members.select("node").distinct(), "nodes")
+    texts = fuzzy.select("node", "line").join(small(nodes, seen["rows"]), "node")
+    texts = work.table(texts.groupBy("node").agg(F.min("line").alias("item")), "texts")
+
+    def alike(x: Column, y: Column) -> Column:
+        near = F.abs(F.length(x) - F.length(y)) <= edits
+        return near & (F.levenshtein(x, y, edits) >= 0)
+
+    _, classes = link_buckets(members, texts, alike, work)
+    classes, seen = work.counted(classes, "classes")
+    work.drop(texts, nodes, members, live, keyed)
     named = lines.select("row", "doc_id", "line_no", "node").join(
-        small(classes, classes.count()), "node", "left"
+        small(classes, seen["rows"]), "node", "left"
     )
     named = work.table(
         named.select("row", "doc_id", "line_no", F.coalesce("label", "node").alias("label")), "lines"
@@ -137,11 +147,11 @@ def drop_repeated_lines(
     blank goes; one that had none stays. All columns are returned.
     """
     gone = alike_lines(docs, work, id_col, text_col, **options).filter("NOT kept")
-    gone = work.table(gone.select("row", "line_no"), "gone")
+    gone, seen = work.counted(gone.select("row", "line_no"), "gone")
     row, lost = fresh(docs, "_row"), fresh(docs, "_lost")
     by_row = gone.groupBy(F.col("row").alias(row)).agg(F.collect_list("line_no").alias(lost))
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = rows.join(small(by_row, gone.count()), row, "left")
+    rows = rows.join(small(by_row, seen["rows"]), row, "left")
     left = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(lost, i))
     cut = F.col(lost).isNotNull()
     text = F.when(cut, F.array_join(left, "\n")).otherwise(F.col(text_col))

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,34 +168,29 @@ def near_duplicates(
     keyed = signed.select("node", F.explode("keys").alias("bucket"))
     # Partial results shrink the copies of a text before the shuffle.
     live = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    live = work.table(live.filter("lo < hi").select("bucket"), "live")
-    members = keyed.join(small(live, live.count()), "bucket").distinct()
-    members = work.table(members, "members")
-    sets = work.table(_shingle_sets(source, signed, members, size), "sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        two = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(one, "a").join(two, "b")
-        least = F.least(F.size("x"), F.size("y"))
-        close = both.filter(least >= similarity * F.greatest(F.size("x"), F.size("y")))
-        common = F.size(F.array_intersect("x", "y"))
-        return close.filter(
-            common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9
-        ).select("a", "b")
-
-    _, classes = link_buckets(members, verify, work)
-    classes = work.table(classes, "classes")
+    live, seen = work.counted(live.filter("lo < hi").select("bucket"), "live")
+    members = keyed.join(small(live, seen["rows"]), "bucket").distinct()
+    members, seen = work.counted(members, "members")
+    sets = work.table(_shingle_sets(source, signed, members, seen["rows"], size), "sets")
+
+    def alike(x: Column, y: Column) -> Column:
+        least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+        common = F.size(F.array_intersect(x, y))
+        every = F.size(x) + F.size(y) - common
+        return (least >= similarity * most) & (common >= similarity * every - 1e-9)
+
+    _, classes = link_buckets(members, sets, alike, work)
+    classes, seen = work.counted(classes, "classes")
     work.drop(sets, members, live)
-    return _classified(signed, classes)
+    return _classified(signed, small(classes, seen["rows"]))
 
 
 def _signed(number: int) -> int:
     return number - (1 << 64) if number >= 1 << 63 else number
 
 
-def _shingle_sets(source: DataFrame, signed: DataFrame, members: DataFrame, size: int):
-    """(node, items) of the nodes to be compared, from one document of each."""
+def _shingle_sets(source, signed, members: DataFrame, most: int, size: int) -> DataFrame:
+    """(node, item) of the nodes to be compared, from one document of each."""
     nodes = members.select("node").distinct()
     chosen = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
 
@@ -203,21 +198,19 @@ def _shingle_sets(source: DataFrame, signed: DataFrame, members: DataFrame, size
         for batch in batches:
             found = [shingles(words_of(t), size)[0].view(np.int64) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "items"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "item"])
 
     return (
         source.select("row", "text")
-        .join(small(chosen, members.count()), "row")
+        .join(small(chosen, most), "row")
         .select("node", "text")
-        .mapInArrow(collect, "node long, items array<long>")
+        .mapInArrow(collect, "node long, item array<long>")
     )
 
 
 def _classified(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Documents with the first of their class."""
-    rows = signed.select("row", "doc_id", "node").join(
-        small(classes, classes.count()), "node", "left"
-    )
+    rows = signed.select("row", "doc_id", "node").join(classes, "node", "left")
     rows = rows.select("row", "doc_id", F.coalesce("label", "node").alias("label"))
     first = first_by("doc_id", "row").alias("first")
     many = rows.filter("label IS NOT NULL").groupBy("label").agg(first, F.count("*").alias("n"))
@@ -237,6 +230,6 @@ def drop_near_duplicates(
     """``docs`` with the first document of each class only, all columns as they are."""
     found = near_duplicates(docs, work, id_col, text_col, **options)
     row = fresh(docs, "_row")
-    gone = work.table(found.filter("NOT kept").select(F.col("row").alias(row)), "gone")
+    gone, seen = work.counted(found.filter("NOT kept").select(F.col("row").alias(row)), "gone")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    return rows.join(small(gone, gone.count()), row, "left_anti").select(*docs.columns)
+    return rows.join(small(gone, seen["rows"]), row, "left_anti").select(*docs.columns)

@@ -43,8 +43,8 @@ def balanced_shards(
     sizes = members.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
     # Salts spread the members of a large group over tasks; its sizes are copied to each.
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    groups = work.table(sizes.select("group", salts.alias("salts")), "groups")
-    many = groups.count()
+    groups, seen = work.counted(sizes.select("group", salts.alias("salts")), "groups")
+    many = seen["rows"]
     members = members.join(small(groups, many), "group").select(
         "row", "group", "salts", F.pmod(F.xxhash64("row"), F.col("salts")).alias("salt")
     )
@@ -136,10 +136,9 @@ def _round(members, groups, many, quota, shards, number, work):
         "group", "row", "salts", "salt", "size", F.col("new").alias("shard"),
         (F.col("new") != F.col("shard")).alias("moved"),
     )
-    after = work.table(changed, "members")
-    moved = after.filter("moved").limit(1).count()
+    after, counts = work.counted(changed, "members", moved=F.count_if("moved"))
     work.drop(seen)
-    return moved, after.drop("moved")
+    return counts["moved"], after.drop("moved")
 
 
 def _filled(docs, linked, total, shards, work):

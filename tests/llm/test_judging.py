@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import odd_rows, prose
+from material import odd_rows, prose
 from pyspark.sql import functions as F
 
 from incidentia.llm import language, quality, sharding, url_lists

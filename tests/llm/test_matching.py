@@ -5,7 +5,8 @@ import re
 from itertools import combinations
 
 import pytest
-from conftest import prose
+from material import prose
+from pyspark.sql import functions as F
 
 from incidentia.llm import decontamination, line_dedup, linking, near_dedup
 from incidentia.llm.decontamination import words_of
@@ -180,26 +181,24 @@ def test_signatures_estimate_the_weighted_similarity():
 # --- links in buckets --------------------------------------------------------------------------
 
 
-def test_links_in_a_large_bucket(spark, work):
-    """A chain: only neighbours are links, so no centre sees more than two."""
-    n = 60
-    rows = [(1, i) for i in range(n)] + [(2, i) for i in range(n, n + 3)]
+@pytest.mark.parametrize("step", [1, 3, 50])
+def test_links_in_a_large_bucket(spark, work, step):
+    """A chain in which no centre sees more than a few of its kind."""
+    n = 700
+    rows = [(1, i) for i in range(n)] + [(2, i) for i in range(n - 1, n + 3)]
     buckets = spark.createDataFrame(rows, "bucket long, node long")
-    seen = []
-
-    def verify(pairs):
-        seen.append(pairs.count())
-        return pairs.filter("b - a = 1 AND b < 60")
-
-    _, classes = linking.link_buckets(buckets, verify, work)
-    assert {(r.node, r.label) for r in classes.collect()} == {(i, 0) for i in range(n)}
-    assert max(seen) <= linking.PAIRS_PER_NODE * len(rows)
+    items = spark.createDataFrame([(i, i) for i in range(n + 3)], "node long, item long")
+    _, classes = linking.link_buckets(
+        buckets, items, lambda x, y: (F.abs(x - y) == step) & (x < n) & (y < n), work
+    )
+    expected = {(i, i % step) for i in range(n) if step < n}
+    assert {(r.node, r.label) for r in classes.collect()} == expected
 
 
 def test_components_of_a_long_chain(spark, work):
     edges = [(i, i + 1) for i in range(0, 50) if i != 30]
     frame = spark.createDataFrame(edges, "a long, b long")
-    found = {r.node: r.label for r in linking.components(frame, work).collect()}
+    found = {r.node: r.label for r in linking.components(frame, work)[0].collect()}
     assert found == {i: 0 if i <= 30 else 31 for i in range(51)}
 
 
@@ -263,9 +262,10 @@ def test_probes_reach_every_edit_within_the_threshold(spark):
     others = [edited(line, s, e) for s in range(40) for e in (1, 2)]
     frame = spark.createDataFrame([(i, x) for i, x in enumerate([line, *others])], "i int, line string")
     for edits in (1, 2, 3):
-        rows = frame.select("i", line_dedup.probes(frame.line, edits).alias("p")).collect()
-        keys = {r.i: {x.bucket for x in r.p if x} for r in rows}
-        own = {r.i: {x.bucket for x in r.p if x and x.own} for r in rows}
+        found = line_dedup.probes(line_dedup.coded(frame.line), F.length("line"), edits)
+        rows = frame.select("i", found.alias("p")).collect()
+        keys = {r.i: {x & -2 for x in r.p if x is not None} for r in rows}
+        own = {r.i: {x & -2 for x in r.p if x is not None and x & 1} for r in rows}
         for i, other in enumerate(others, 1):
             if distance(line, other) <= edits:
                 assert keys[0] & own[i] or keys[i] & own[0]
