@@ -21,6 +21,9 @@ EDITS = 2
 MIN_CHARS = 20
 FUZZY_CHARS = 40
 
+#: Letters whose counts are compared before a distance is taken.
+LETTERS = "etaoinshrdlu"
+
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -65,6 +68,13 @@ def probes(code: Column, length: Column, edits: int) -> Column:
     return F.array(*found)
 
 
+def _bag(line: str) -> Column:
+    """How often a line has each of the letters."""
+    return F.array(
+        *(F.length(line) - F.length(F.translate(line, c, "")) for c in LETTERS)
+    )
+
+
 def alike_lines(
     docs: DataFrame,
     work: Work,
@@ -107,11 +117,16 @@ def alike_lines(
     members = work.table(members, "members")
     nodes, seen = work.counted(members.select("node").distinct(), "nodes")
     texts = fuzzy.select("node", "line").join(small(nodes, seen["rows"]), "node")
-    texts = work.table(texts.groupBy("node").agg(F.min("line").alias("item")), "texts")
+    texts = texts.groupBy("node").agg(F.min("line").alias("line"))
+    texts = work.table(
+        texts.select("node", F.struct("line", _bag("line").alias("bag")).alias("item")), "texts"
+    )
 
     def alike(x: Column, y: Column) -> Column:
-        near = F.abs(F.length(x) - F.length(y)) <= edits
-        return near & (F.levenshtein(x, y, edits) >= 0)
+        # An edit changes the counts of two letters by one at most, which is soon told.
+        apart = sum((F.abs(x["bag"][i] - y["bag"][i]) for i in range(len(LETTERS))), F.lit(0))
+        near = F.abs(F.length(x["line"]) - F.length(y["line"])) <= edits
+        return near & (apart <= 2 * edits) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
 
     _, classes = link_buckets(members, texts, alike, work)
     classes, seen = work.counted(classes, "classes")
