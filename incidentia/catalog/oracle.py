@@ -262,6 +262,16 @@ folded AS (
   GROUP BY ALL)"""
 )
 
+# The same split over the rows that classifiers take.
+_TRAINING = (
+    CLEANED
+    + """,
+labelled AS (
+  SELECT report_number, severity_label, md5(report_number || ':42') AS h
+  FROM cleaned WHERE severity_label <> 'UNKNOWN')"""
+)
+_TRAINING_SPLIT = _TRAINING + _SPLIT[len(_LABELLED) :]
+
 # --- Metrics ----------------------------------------------------------------------------------
 
 
@@ -838,5 +848,24 @@ SELECT run_no, promoted, champion AS champion_cv_f1 FROM chain"""
         """SELECT (SELECT count(*) FROM held) AS accumulated_records, f1 AS champion_f1,
   training_records AS champion_records
 FROM sruns ORDER BY run_no DESC LIMIT 1""",
+    )
+    # Fitted models: what holds whatever the solver's last digits
+    classes = "(SELECT count(DISTINCT severity_label) FROM labelled) AS n_classes"
+    q["predict_scores"] = _with(
+        _TRAINING_SPLIT,
+        f"""SELECT report_number, {classes}, CAST(1 AS DOUBLE) AS total, TRUE AS is_best
+FROM split WHERE is_test""",
+    )
+    q["fit_svm"] = _with(
+        _TRAINING_SPLIT,
+        f"SELECT report_number, {classes}, TRUE AS is_best FROM split WHERE is_test",
+    )
+    q["embedding_head"] = """
+SELECT vec_id, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes,
+  CAST(1 AS DOUBLE) AS total, TRUE AS is_best FROM embeddings"""
+    q["training_job"] = _with(
+        _TRAINING,
+        """SELECT count(*) AS training_records, count(DISTINCT severity_label) AS n_classes,
+  CAST(5 AS BIGINT) AS n_folds, TRUE AS beats_dummy, TRUE AS promoted FROM labelled""",
     )
     return q

@@ -812,6 +812,18 @@ def stored_training_rows(spark: SparkSession, sf: str) -> DataFrame:
     return written_table(training_rows(spark, sf), "training")
 
 
+def _judged(scored: DataFrame, scores: str, key: str) -> DataFrame:
+    """What holds for right scores, whatever the solver: a score per class, probabilities that sum
+    to one, and the best class predicted."""
+    values = F.map_values(scores)
+    return scored.select(
+        key,
+        F.size(values).cast("long").alias("n_classes"),
+        rounded(total(values)).alias("total"),
+        (F.col(scores)[F.col("predicted_label")] == F.array_max(values)).alias("is_best"),
+    )
+
+
 @query
 def fit_logreg(spark, sf):
     """Coefficients of the default classifier, the highest fifteen per class."""
@@ -823,18 +835,15 @@ def fit_logreg(spark, sf):
 def predict_scores(spark, sf):
     parts = written_table(SP.stratified_split(training_rows(spark, sf)), "split")
     model = MO.fit_text_model(parts.filter("NOT is_test"))
-    return model.transform(parts.filter("is_test")).select(
-        "report_number", "severity_label", "predicted_label", "probabilities"
-    )
+    return _judged(model.transform(parts.filter("is_test")), "probabilities", "report_number")
 
 
 @query
 def fit_svm(spark, sf):
     parts = written_table(SP.stratified_split(training_rows(spark, sf)), "split")
     model = MO.fit_text_model(parts.filter("NOT is_test"), MO.Params("svm"))
-    return model.transform(parts.filter("is_test")).select(
-        "report_number", "severity_label", "predicted_label", "decision_scores"
-    )
+    judged = _judged(model.transform(parts.filter("is_test")), "decision_scores", "report_number")
+    return judged.drop("total")
 
 
 @query
@@ -851,9 +860,7 @@ def grid_search(spark, sf):
 @query
 def embedding_head(spark, sf):
     rows = TB.read_table(spark, sf, "embeddings")
-    return MO.fit_embedding_model(rows).transform(rows).select(
-        "vec_id", "label", "predicted_label", "probabilities"
-    )
+    return _judged(MO.fit_embedding_model(rows).transform(rows), "probabilities", "vec_id")
 
 
 @query
@@ -865,9 +872,10 @@ def embedding_head_cv(spark, sf):
 def training_job(spark, sf):
     store = ModelStore(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     result = train_job(TB.reports(spark, sf), store, remove_unknown=True)
-    names = ["training_records", "accuracy", "f1_weighted", "cv_f1_mean", "promoted"]
+    names = ["training_records", "n_classes", "n_folds", "beats_dummy", "promoted"]
+    result |= {"n_classes": len(result["class_counts"]), "n_folds": len(result["cv_f1_per_fold"])}
     return spark.createDataFrame(
         [tuple(result[n] for n in names)],
-        "training_records long, accuracy double, f1_weighted double, cv_f1_mean double, "
+        "training_records long, n_classes long, n_folds long, beats_dummy boolean, "
         "promoted boolean",
     )
