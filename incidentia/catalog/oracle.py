@@ -856,10 +856,6 @@ FROM sruns ORDER BY run_no DESC LIMIT 1""",
         f"""SELECT report_number, {classes}, CAST(1 AS DOUBLE) AS total, TRUE AS is_best
 FROM split WHERE is_test""",
     )
-    q["fit_svm"] = _with(
-        _TRAINING_SPLIT,
-        f"SELECT report_number, {classes}, TRUE AS is_best FROM split WHERE is_test",
-    )
     q["embedding_head"] = """
 SELECT vec_id, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes,
   CAST(1 AS DOUBLE) AS total, TRUE AS is_best FROM embeddings"""
