@@ -159,10 +159,10 @@ entries AS (
   SELECT CASE WHEN ('0x' || e[11:11])::BIGINT < 8 THEN 'ads' ELSE 'malware' END AS list,
          CASE WHEN ('0x' || e[3:3])::BIGINT < 8 THEN '.' || host
               WHEN ('0x' || e[3:3])::BIGINT < 12 THEN host ELSE host || '/' || step END AS pattern,
-         1704067200 + ('0x' || e[5:10])::BIGINT % (30 * 86400) AS at,
+         1704067200 + ('0x' || e[5:10])::BIGINT % (30 * 86400) AS moment,
          ('0x' || e[4:4])::BIGINT >= 10 AS gone
   FROM p WHERE ('0x' || e[1:2])::BIGINT < 64),
-dated AS (SELECT list, pattern, at, bool_or(gone) AS gone FROM entries GROUP BY ALL),
+dated AS (SELECT list, pattern, moment, bool_or(gone) AS gone FROM entries GROUP BY ALL),
 asked AS (
   SELECT DISTINCT page_id, t, unnest(list_concat(
     [host],
@@ -173,8 +173,8 @@ asked AS (
   )) AS pattern
   FROM captures),
 latest AS (
-  SELECT page_id, list, pattern, arg_max(gone, at) AS gone
-  FROM asked JOIN dated USING (pattern) WHERE at <= t GROUP BY page_id, list, pattern),
+  SELECT page_id, list, pattern, arg_max(gone, moment) AS gone
+  FROM asked JOIN dated USING (pattern) WHERE moment <= t GROUP BY page_id, list, pattern),
 hits AS (
   SELECT page_id, count(*) AS n, string_agg(list || ' ' || pattern, ',' ORDER BY list, pattern) AS m
   FROM latest WHERE NOT gone GROUP BY page_id)
