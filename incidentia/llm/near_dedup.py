@@ -4,7 +4,9 @@ Each distinct shingle of a text starts a Poisson process whose rate is its weigh
 falls into one register of the signature, and a register keeps the shingle that arrived first. Two
 texts agree in a register with the probability Jaccard similarity of their weights. Arrivals later
 than the latest register can change nothing, so a shingle stops there. Texts that agree in a band of
-registers are compared by the exact Jaccard similarity of their shingle sets.
+registers are compared by the exact Jaccard similarity of their shingle sets. A text that repeats
+shingles has a second signature from the same arrivals with all weights at one, as the verdict has
+them; for other texts both are the same.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from incidentia.llm.linking import link_buckets
 #: Words of a shingle, and the similarity from which texts are linked.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8, all bands miss a pair with probability (1 - 0.8^4)^20 = 3e-5.
+#: At similarity 0.8, all bands of weight one miss a pair with probability (1 - 0.8^4)^20 = 3e-5.
 BANDS, ROWS = 20, 4
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -113,6 +115,19 @@ def band_keys(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def search_keys(items: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Distinct band keys of a text: by weights from its counts, and at weight one.
+
+    Two texts agree in a register at weight one with the probability that is verified, however
+    often either repeats a shingle.
+    """
+    plain = band_keys(signature(items, np.ones(len(items)), bands * rows), bands, rows)
+    if counts.max() == 1:
+        return plain
+    names = signature(items, 1 + np.log(counts), bands * rows)
+    return np.unique(np.concatenate((plain, band_keys(names, bands, rows))))
+
+
 def near_duplicates(
     docs: DataFrame,
     work: Work,
@@ -129,8 +144,8 @@ def near_duplicates(
     without a word are copies if they are equal. Copies, and texts whose shingle sets have at least
     ``similarity``, are linked, and links make classes. ``class_id`` is the least id in the class;
     ``kept`` marks its first document by id and row, null ids last. Each null text is a class of its own. A shingle
-    weighs one plus the logarithm of its count, which steers the search; the verifying similarity
-    counts each shingle once. ``row`` is the place in ``docs``, which should be a table that is
+    weighs one plus the logarithm of its count in one half of the search; the other half and the
+    verifying similarity count each shingle once. ``row`` is the place in ``docs``, which should be a table that is
     read: it is read again for the texts that are compared. An empty table gives no rows.
     """
     source = docs.select(
@@ -156,8 +171,7 @@ def near_duplicates(
                 nodes.append(None if text is None else _signed(xxhash.xxh3_64_intdigest(content)))
                 items, counts = shingles(words, size)
                 if len(items):
-                    names = signature(items, 1 + np.log(counts), bands * rows)
-                    keys.append(band_keys(names, bands, rows))
+                    keys.append(search_keys(items, counts, bands, rows))
                 else:
                     keys.append(())
             columns = [*batch.columns[:2], pa.array(nodes, pa.int64())]
