@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Width of a bucket, in seconds. Narrower ones split a busy pattern further.
 BUCKET = 86_400
-#: Deepest domain level and path level that a capture is looked up by.
-LEVELS = 6
 
 
 def host_of(url: Column) -> Column:
@@ -28,26 +26,42 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(path, "/+$", "")
 
 
-def patterns_of(url: Column, levels: int = LEVELS) -> Column:
+def patterns_of(url: Column, labels: int | None = None, steps: int | None = None) -> Column:
     """All patterns that can name a URL: ``host``, ``.domain`` for it and each domain above,
-    ``host/path`` for each leading part of the path, down to ``levels`` parts."""
+    ``host/path`` for each leading part of the path. ``labels`` and ``steps`` leave out domains of
+    more labels and prefixes of more parts, which a caller knows that no list has."""
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    size = F.size(labels)
-    counts = F.sequence(F.lit(1), F.least(size, F.lit(levels)))
+    names = F.split(host, r"\.")
+    size = F.size(names)
     domains = F.transform(
-        counts, lambda n: F.concat(F.lit("."), F.array_join(F.slice(labels, size - n + 1, n), "."))
+        _up_to(size, labels),
+        lambda n: F.concat(F.lit("."), F.array_join(F.slice(names, size - n + 1, n), ".")),
     )
     parts = F.array_remove(F.split(path, "/"), "")
-    depth = F.least(F.size(parts), F.lit(levels))
-    steps = F.filter(F.sequence(F.lit(0), depth), lambda n: n > 0)
     prefixes = F.transform(
-        steps, lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))
+        _up_to(F.size(parts), steps),
+        lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")),
     )
     every = F.array_distinct(F.concat(F.array(host), domains, prefixes))
     return F.when(host != "", every).otherwise(F.slice(every, 1, 0))
 
 
+def _up_to(size: Column, most: int | None) -> Column:
+    """The numbers from 1 to ``size``, or to ``most`` if that is less; none for 0."""
+    last = size if most is None else F.least(size, F.lit(most))
+    return F.filter(F.sequence(F.lit(0), last), lambda n: n > 0)
+
+
+def depths(entries: DataFrame) -> tuple[int, int]:
+    """Labels of the deepest listed ``.domain``, and parts of the deepest listed path prefix."""
+    pattern = F.col("pattern")
+    dots = F.length(pattern) - F.length(F.replace(pattern, F.lit("."), F.lit("")))
+    slashes = F.length(pattern) - F.length(F.replace(pattern, F.lit("/"), F.lit("")))
+    labels = F.max(F.when(pattern.startswith("."), dots))
+    found = entries.agg(F.coalesce(labels, F.lit(0)), F.coalesce(F.max(slashes), F.lit(0))).first()
+    return found[0], found[1]
+
+
 def validity(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Intervals in which a list names a pattern: list, pattern, valid_from, valid_to, bucket.
 
@@ -105,7 +119,8 @@ def match_lists(
     active at fetch time, sorted; empty if there are none.
 
     A null URL, one without a host and a null fetch time match nothing. Repeated captures stay rows
-    of their own. Columns other than the named ones are ignored.
+    of their own. Columns other than the named ones are ignored. Captures are looked up by as many
+    labels and path parts as the deepest entry has, so no entry is out of reach.
     """
     width = bucket * 1_000_000
     rows = captures.select(
@@ -116,11 +131,12 @@ def match_lists(
     )
     # Behind the last date of all entries a capture meets what holds in that date's bucket.
     end = F.lit(last_date(entries)).cast("long")
+    labels, steps = depths(entries)
     asked = rows.select(
         "row",
         "t",
         F.floor(F.least(F.col("t"), end) / width).alias("bucket"),
-        F.explode(patterns_of(F.col("url"))).alias("pattern"),
+        F.explode(patterns_of(F.col("url"), labels, steps)).alias("pattern"),
     )
     spans = validity(entries, bucket)
     active = (F.col("t") >= F.col("valid_from")) & (

@@ -215,6 +215,20 @@ def test_matches_against_the_latest_entries(spark, bucket):
     assert sorted((r.id, [(m.list, m.pattern) for m in r.matches]) for r in rows) == sorted(expected)
 
 
+def test_deep_entries_match(spark):
+    """Eight labels and eight path parts, active at fetch time."""
+    host, path = "a.b.c.d.e.f.g.org", "/1/2/3/4/5/6/7/8"
+    patterns = [f".{host}", f"{host}{path}", f"{host}/1/2/3/4/5/6/7", ".b.c.d.e.f.g.org", ".x." + host]
+    entries = spark.createDataFrame([("l", p, "add") for p in patterns], "list string, pattern string, action string")
+    entries = entries.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    pages = spark.createDataFrame([(1, f"https://{host}{path}/9?q")], "page_id int, url string")
+    pages = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_600)))
+    found = url_lists.match_lists(pages, entries).first()
+    assert [m.pattern for m in found.matches] == sorted(patterns[:4])
+    every = pages.select(url_lists.patterns_of(F.col("url")).alias("p")).first().p
+    assert set(patterns[:4]) <= set(every) and len(every) == 1 + 8 + 9
+
+
 def test_no_entries_and_no_captures(spark):
     entries = spark.createDataFrame([], "list string, pattern string, at timestamp, action string")
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id int, url string")
