@@ -17,9 +17,10 @@ from incidentia.llm.linking import link_buckets
 
 #: Edits up to which lines are alike.
 EDITS = 2
-#: Shorter lines, in characters, are left alone; below the second length only equal ones are alike.
-MIN_CHARS = 20
-FUZZY_CHARS = 40
+#: Shortest line, in characters, and the length from which all edits are allowed. Shorter lines are
+#: allowed fewer in proportion: one edit from 10 characters, none below.
+MIN_CHARS = 1
+FUZZY_CHARS = 20
 
 #: Letters whose counts are compared before a distance is taken.
 LETTERS = "etaoinshrdlu"
@@ -63,11 +64,28 @@ def probes(code: Column, length: Column, edits: int) -> Column:
                 at = start + move
                 piece = F.substring(code, at * 4 + 1, size * 4)
                 own = int(shorter == 0 and move == 0)
-                bucket = F.xxhash64(F.lit(i), indexed, piece).bitwiseAND(-2).bitwiseOR(own)
+                bucket = F.xxhash64(F.lit(edits), F.lit(i), indexed, piece).bitwiseAND(-2).bitwiseOR(own)
                 found.append(F.when((at >= 0) & (at + size <= length), bucket))
     return F.array(*found)
 
 
+def floor_of(edits: int, most: int, fuzzy_chars: int) -> int:
+    """Length of the shorter line from which so many edits of at most ``most`` are allowed."""
+    return -(-edits * fuzzy_chars // max(most, 1))
+
+
+def all_probes(code: Column, length: Column, edits: int, fuzzy_chars: int) -> Column:
+    """The buckets for each number of edits that a line can be within of another."""
+    found = []
+    for e in range(min(1, edits), edits + 1):
+        here = length >= floor_of(e, edits, fuzzy_chars)
+        if e < edits:
+            # The longer line of a pair exceeds the shorter one by the edits at most.
+            here = here & (length < floor_of(e + 1, edits, fuzzy_chars) + e)
+        found.append(F.when(here, probes(code, length, e)).otherwise(F.array().cast("array<long>")))
+    return F.concat(*found)
+
+
 def _bag(line: str) -> Column:
     """How often a line has each of the letters."""
     return F.array(
@@ -88,7 +106,8 @@ def alike_lines(
 
     Lines are cut at ``\\n``, trimmed, and count from ``min_chars`` characters. Equal lines are
     alike, and so are lines of ``fuzzy_chars`` characters or more within ``edits`` insertions,
-    deletions and substitutions; links make classes. The first line of a class by id, row and number
+    deletions and substitutions; if the shorter line is shorter than that, its share of ``edits`` is
+    allowed, rounded down. Links make classes. The first line of a class by id, row and number
     is kept, null ids last. Null and empty texts have no such line; an empty table gives no rows. ``row`` is the
     place in ``docs``, which should be a table that is read, as it is read several times.
     """
@@ -98,10 +117,10 @@ def alike_lines(
         F.col(text_col).alias("text"),
     )
     lines = lines_of(source, min_chars)
-    fuzzy = lines.filter(F.length("line") >= fuzzy_chars)
+    fuzzy = lines.filter(F.length("line") >= floor_of(min(1, edits), edits, fuzzy_chars))
     code = coded(F.col("line"))
     keyed = fuzzy.select("node", code.alias("code"), F.length("line").alias("length"))
-    keys = probes(F.col("code"), F.col("length"), edits)
+    keys = all_probes(F.col("code"), F.col("length"), edits, fuzzy_chars)
     # Read twice: it is smaller than the text, and costs more to make than to keep.
     keyed = work.table(keyed.select("node", keys.alias("keys")), "keys")
     probed = keyed.select("node", F.explode("keys").alias("x")).filter("x IS NOT NULL")
@@ -125,8 +144,11 @@ def alike_lines(
     def alike(x: Column, y: Column) -> Column:
         # An edit changes the counts of two letters by one at most, which is soon told.
         apart = sum((F.abs(x["bag"][i] - y["bag"][i]) for i in range(len(LETTERS))), F.lit(0))
-        near = F.abs(F.length(x["line"]) - F.length(y["line"])) <= edits
-        return near & (apart <= 2 * edits) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
+        least = F.least(F.length(x["line"]), F.length(y["line"]))
+        allowed = F.least(F.lit(edits), F.floor(least * edits / fuzzy_chars))
+        near = F.abs(F.length(x["line"]) - F.length(y["line"])) <= allowed
+        distance = F.levenshtein(x["line"], y["line"], edits)
+        return near & (apart <= 2 * allowed) & distance.between(0, allowed)
 
     _, classes = link_buckets(members, texts, alike, work)
     classes, seen = work.counted(classes, "classes")

@@ -296,6 +296,27 @@ def test_alike_lines_against_all_pairs(spark, tmp_path, work):
         assert kept.get(i, "") == "\n".join(left)
 
 
+def test_short_lines_count(spark, tmp_path, work):
+    """Copies at any length; one edit from 10 characters, two from 20, none below."""
+    licence = "Licensed under the terms of the MIT"
+    lines = ["Page footer", "}", "tiny", "tinx", licence, licence.replace("terms", "terns")]
+    lines += [edited(prose(600 + i, 6)[:n], s, e) for i, n in enumerate((9, 10, 15, 19, 20, 21, 30, 39)) for s in range(6) for e in (0, 1, 2)]
+    lines += ["Page footer", "}", " ", "", "Page footed", "Page facted"]
+    rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(-(-len(lines) // 5))]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+    found = line_dedup.alike_lines(spark.read.parquet(path), work).collect()
+    lines = {(i, n): x.strip() for i, t in rows for n, x in enumerate(t.split("\n")) if x.strip()}
+    linked = [
+        (a, b)
+        for a, b in combinations(sorted(lines), 2)
+        if distance(lines[a], lines[b]) <= min(2, min(len(lines[a]), len(lines[b])) // 10)
+    ]
+    label = classes_of(lines, linked)
+    assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in found} == label
+    assert label[1, 0] == (0, 4)
+
+
 def test_probes_reach_every_edit_within_the_threshold(spark):
     line = prose(7, 9)
     others = [edited(line, s, e) for s in range(40) for e in (1, 2)]
