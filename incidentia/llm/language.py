@@ -26,6 +26,9 @@ LEARN_FROM = 5_000
 #: Languages that may be learned; their profiles go to every task.
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
+#: Scores of one language and length that a bound is found from at the least, and how many
+#: quartile distances it lies below the lower quartile.
+BOUND_FROM, BOUND_WIDTH = 100, 3
 
 _EDGE = 1
 
@@ -77,7 +80,10 @@ class Profiles:
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """The nearest language and one minus the distance's share of the largest possible."""
-        own = ranked(ngrams(text), self.size)
+        return self.nearest(ranked(ngrams(text), self.size))
+
+    def nearest(self, own: np.ndarray) -> tuple[str, float]:
+        """The same from a text's ranked n-grams."""
         if not len(own) or not self.languages:
             return UNKNOWN, 0.0
         at = np.searchsorted(self.grams, own)
@@ -96,6 +102,23 @@ def is_held_out(id_column: Column) -> Column:
     return F.crc32(text.cast("binary")) % 4 == 2
 
 
+def _sample(
+    labelled: DataFrame, id_col: str, text_col: str, lang_col: str, learn_from: int
+) -> DataFrame:
+    """(text, lang) of the documents that a language is learned from."""
+    rows = labelled.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+    ).filter("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col!r} the right column?")
+    share = F.lit(1.0)
+    for language, count in sizes:
+        share = F.when(F.col("lang") == language, min(1.0, learn_from / count)).otherwise(share)
+    place = F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    return rows.filter(place < share).select("text", "lang")
+
+
 def learn_profiles(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -110,16 +133,7 @@ def learn_profiles(
     documents is learned from about so many, the ones whose hashed id falls below a bound. Texts
     without a letter add nothing; no rows give no profiles.
     """
-    rows = labelled.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
-    ).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col!r} the right column?")
-    share = F.lit(1.0)
-    for language, count in sizes:
-        share = F.when(F.col("lang") == language, min(1.0, learn_from / count)).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = _sample(labelled, id_col, text_col, lang_col, learn_from)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +146,7 @@ def learn_profiles(
                 columns += [pa.array(values), pa.array(counts.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
-    counted = rows.filter(place < share).select("text", "lang")
-    counted = counted.mapInArrow(count, "lang string, gram long, n long")
+    counted = rows.mapInArrow(count, "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return (
         counted.groupBy("lang", "gram")
@@ -144,6 +157,55 @@ def learn_profiles(
     )
 
 
+def grade_of(own: np.ndarray) -> int:
+    """Texts of about as many n-grams have comparable scores: the binary digits of their number."""
+    return len(own).bit_length()
+
+
+def learn_bounds(
+    labelled: DataFrame,
+    profiles: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    size: int = PROFILE,
+    learn_from: int = LEARN_FROM,
+) -> DataFrame:
+    """A row per language and grade of length: lang, grade, bound.
+
+    The documents that profiles are learned from are scored, whole and by their first 1, 2, 4, ...
+    words, so that short texts are judged by short texts. The bound lies ``BOUND_WIDTH`` quartile
+    distances below the lower quartile; fewer than ``BOUND_FROM`` scores give none.
+    """
+    rows = [tuple(r) for r in profiles.limit(MAX_LANGUAGES * size).collect()]
+    held = labelled.sparkSession.sparkContext.broadcast(Profiles(rows, size))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                words = text.split()
+                halves = [" ".join(words[: 1 << k]) for k in range(len(words).bit_length())]
+                for piece in (*halves, text):
+                    own = ranked(ngrams(piece), size)
+                    found.append((*held.value.nearest(own), grade_of(own)))
+            names, scores, grades = zip(*found) if found else ((), (), ())
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            columns.append(pa.array(grades, pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "score", "grade"])
+
+    scored = _sample(labelled, id_col, text_col, lang_col, learn_from)
+    scored = scored.mapInArrow(score, "lang string, score double, grade int")
+    low, high = (F.percentile_approx("score", q) for q in (0.25, 0.75))
+    return (
+        scored.filter(F.col("lang") != UNKNOWN)
+        .groupBy("lang", "grade")
+        .agg((low - BOUND_WIDTH * (high - low)).alias("bound"), F.count("*").alias("n"))
+        .filter(F.col("n") >= BOUND_FROM)
+        .select("lang", "grade", "bound")
+    )
+
+
 def identify_language(
     docs: DataFrame,
     profiles: DataFrame,
@@ -185,20 +247,30 @@ def keep_identified(
     text_col: str = "text",
     languages: list[str] | None = None,
     size: int = PROFILE,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` in one of ``languages``, or in any language if none are given.
 
-    Rejected are null texts, texts without a letter and, with ``languages``, texts nearest to another
-    one. All columns stay as they are.
+    Rejected are null texts, texts without a letter, texts with none of their n-grams in any profile
+    (score 0), texts whose score lies below the one of ``bounds`` for their language and length and,
+    with ``languages``, texts nearest to another one. All columns stay as they are.
     """
     rows = [tuple(r) for r in profiles.limit(MAX_LANGUAGES * size).collect()]
     held = docs.sparkSession.sparkContext.broadcast(Profiles(rows, size))
     place = docs.columns.index(text_col)
 
+    rows = bounds.limit(MAX_LANGUAGES * 64).collect() if bounds is not None else []
+    least = {(r["lang"], r["grade"]): r["bound"] for r in rows}
+
+    def good(text: str | None) -> bool:
+        own = ranked(ngrams(text), size)
+        name, score = held.value.nearest(own)
+        near = score > 0 and score >= least.get((name, grade_of(own)), 0.0)
+        return near and (languages is None or name in languages)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [held.value.classify(t)[0] for t in batch.column(place).to_pylist()]
-            good = [x != UNKNOWN and (languages is None or x in languages) for x in found]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            found = [good(t) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -73,6 +73,22 @@ def test_language_of_odd_rows(odd, none):
     assert language.keep_identified(odd, profiles, languages=["de"]).count() == 0
 
 
+def test_texts_far_from_every_profile_go(spark):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn_profiles(docs).cache()
+    bounds = language.learn_bounds(docs, profiles)
+    strange = ["Привет как дела сегодня", "日本語の文章です", "გამარჯობა", prose(3, 300), prose(4, 1000)]
+    odd = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(strange)], docs.schema)
+    kept = language.keep_identified(odd.unionByName(docs), profiles, bounds=bounds)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not [i for i in ids if i < 0]
+    clean = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(clean - ids) <= 0.002 * len(clean)
+    # Without bounds a score of 0 still rejects.
+    none = language.keep_identified(odd.filter("doc_id > -4"), profiles)
+    assert none.count() == 0
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
