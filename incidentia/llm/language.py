@@ -21,7 +21,7 @@ from incidentia.llm.common import id_type
 
 #: N-grams of a profile.
 PROFILE = 300
-#: Documents that a language's profile is learned from: about so many, chosen by a hash of the id.
+#: Documents that a language's profile is learned from: about so many, chosen by a hash of id and text.
 LEARN_FROM = 5_000
 #: Languages that may be learned; their profiles go to every task.
 MAX_LANGUAGES = 1_000
@@ -115,7 +115,7 @@ def _sample(
     share = F.lit(1.0)
     for language, count in sizes:
         share = F.when(F.col("lang") == language, min(1.0, learn_from / count)).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64(F.lit("profile"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
     return rows.filter(place < share).select("text", "lang")
 
 
@@ -130,7 +130,7 @@ def learn_profiles(
     """A row per language and profile n-gram: lang, gram, rank from 0.
 
     Rows with a null text or language are left out. A language with more than ``learn_from``
-    documents is learned from about so many, the ones whose hashed id falls below a bound. Texts
+    documents is learned from about so many, the ones whose hashed id and text fall below a bound. Texts
     without a letter add nothing; no rows give no profiles.
     """
     rows = _sample(labelled, id_col, text_col, lang_col, learn_from)

@@ -89,6 +89,14 @@ def test_texts_far_from_every_profile_go(spark):
     assert none.count() == 0
 
 
+def test_sample_is_spread_without_usable_ids(spark):
+    for same in (None, 7, 8, 9):
+        rows = [(same, prose(i, 3), "en") for i in range(1000)]
+        frame = spark.createDataFrame(rows, "id long, text string, lang string")
+        taken = language._sample(frame, "id", "text", "lang", learn_from=100).count()
+        assert 50 < taken < 200
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
