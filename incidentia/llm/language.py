@@ -26,9 +26,9 @@ LEARN_FROM = 5_000
 #: Languages that may be learned; their profiles go to every task.
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
-#: Scores of one language and length that a bound is found from at the least, and how many
-#: quartile distances it lies below the lower quartile.
-BOUND_FROM, BOUND_WIDTH = 100, 3
+#: Scores of one language and length that a bound is found from at the least, and the share of
+#: their lower quartile that it is.
+BOUND_FROM, BOUND_SHARE = 100, 0.5
 
 _EDGE = 1
 
@@ -174,8 +174,8 @@ def learn_bounds(
     """A row per language and grade of length: lang, grade, bound.
 
     The documents that profiles are learned from are scored, whole and by their first 1, 2, 4, ...
-    words, so that short texts are judged by short texts. The bound lies ``BOUND_WIDTH`` quartile
-    distances below the lower quartile; fewer than ``BOUND_FROM`` scores give none.
+    words, so that short texts are judged by short texts. The bound is ``BOUND_SHARE``
+    of the lower quartile; fewer than ``BOUND_FROM`` scores give none.
     """
     rows = [tuple(r) for r in profiles.limit(MAX_LANGUAGES * size).collect()]
     held = labelled.sparkSession.sparkContext.broadcast(Profiles(rows, size))
@@ -196,11 +196,11 @@ def learn_bounds(
 
     scored = _sample(labelled, id_col, text_col, lang_col, learn_from)
     scored = scored.mapInArrow(score, "lang string, score double, grade int")
-    low, high = (F.percentile_approx("score", q) for q in (0.25, 0.75))
+    low = F.percentile_approx("score", 0.25)
     return (
         scored.filter(F.col("lang") != UNKNOWN)
         .groupBy("lang", "grade")
-        .agg((low - BOUND_WIDTH * (high - low)).alias("bound"), F.count("*").alias("n"))
+        .agg((BOUND_SHARE * low).alias("bound"), F.count("*").alias("n"))
         .filter(F.col("n") >= BOUND_FROM)
         .select("lang", "grade", "bound")
     )
