@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables: thin digests of what the operators return."""
+"""The operators as queries over the given tables: thin digests of what the operators return."""
 
 from __future__ import annotations
 
@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from incidentia.llm import (
     decontamination,
+    divergence,
     language,
     line_dedup,
     near_dedup,
     packing,
     quality,
+    secret_scan,
     separators,
     sharding,
     token_orc,
     url_lists,
+    whitening,
 )
 from incidentia.llm.common import Work, unsigned_crc32
 from incidentia.sources.tables import read_table
@@ -241,9 +244,82 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "start", "n_tokens")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "op11")
+    return whitening.whitened_components(read_table(spark, sf_dir, "embeddings"), work)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "op12")
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"), work)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+words AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS kept FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term)
+  GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN counts USING (lang, source)
+  GROUP BY g.lang, g.source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.kept) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.kept) AS whole
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - whole) * (p - whole)) // whole)::BIGINT
+  FROM shares WHERE n > 0 AND p > whole),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_scan.find_secrets(docs, secret_scan.common_words(docs))
+    base = F.filter("spans", lambda s: s["kind"] != secret_scan.VALUE)
+
+    def joined(spans):
+        fields = ("kind", "start", "end")
+        each = F.transform(spans, lambda s: F.concat_ws(":", *(s[f].cast("string") for f in fields)))
+        return F.concat_ws(",", each)
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in secret_scan.BASE),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op6_url_lists": OP6_SQL}
+    return {"op6_url_lists": OP6_SQL, "op12_divergence": OP12_SQL}
