@@ -298,7 +298,8 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = secret_scan.find_secrets(docs, secret_scan.common_words(docs))
+    words = secret_scan.common_words(docs, Work(spark, "op13"))
+    found = secret_scan.find_secrets(docs, words)
     base = F.filter("spans", lambda s: s["kind"] != secret_scan.VALUE)
 
     def joined(spans):

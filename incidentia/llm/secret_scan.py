@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentia.llm.common import id_type
+from incidentia.llm.common import Work, id_type
 
 # --- Fixed values: the base patterns, the names of credentials and the rows of a keyboard ----------
 
@@ -109,18 +109,18 @@ def step_of(a: str, b: str) -> tuple | None:
 
 
 _DATE = re.compile(
-    r"(\d{4})([-/._]?)(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/._]?)(\d{1,2})\6(\d{4}|\d{2})|(\d{4})"
+    r"(\d{4})([-/._]?)(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/._]?)(\d{1,2})\6(\d{4}|\d{2})"
 )
 
 
 def _date_bits(text: str) -> float | None:
     """Bits of a date in one of the usual forms, or of a year."""
+    if len(text) == 4 and text.isdecimal() and int(text) in YEARS:
+        return log2(len(YEARS))
     found = _DATE.fullmatch(text)
     if not found:
         return None
-    y1, mark1, a1, b1, a2, mark2, b2, y2, year = found.groups()
-    if year:
-        return log2(len(YEARS)) if int(year) in YEARS else None
+    y1, mark1, a1, b1, a2, mark2, b2, y2 = found.groups()
     y, a, b = int(y1 or y2), int(a1 or a2), int(b1 or b2)
     if not ((len(y1 or y2) == 2 or y in YEARS) and 1 <= min(a, b) <= 12 and 1 <= max(a, b) <= 31):
         return None
@@ -262,8 +262,10 @@ def words_in(text: bytes | None) -> set[bytes]:
     return {w for w in text.translate(_TO_WORDS).split() if low <= len(w) <= high}
 
 
-def common_words(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> DataFrame:
-    """(word, rank) of the ``most`` words that the most documents hold, from rank 1; ties by word.
+def common_words(docs: DataFrame, work: Work, text_col: str = "text", most: int = WORDS) -> DataFrame:
+    """(word, rank) of the ``most`` words that the most documents hold, from rank 1.
+
+    Words that equally many documents hold go by a hash of the word.
 
     Words are runs of letters, with A to Z lower-cased, of 3 to 24 bytes. Words of a value in a
     credential's place are not counted there. Null texts and an empty table have none.
@@ -288,11 +290,30 @@ def common_words(docs: DataFrame, text_col: str = "text", most: int = WORDS) ->
 
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
     counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most).collect()
+    counted = work.table(counted.withColumn("place", F.xxhash64("word")), "words")
+    top = _most_frequent(counted, most).orderBy(F.desc("n"), "place", "word").limit(most).collect()
+    work.drop(counted)
     rows = [(row["word"], rank) for rank, row in enumerate(top, 1)]
     return docs.sparkSession.createDataFrame(rows, "word string, rank int")
 
 
+def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """Little more than the ``most`` first of (word, n, place), so that their sort stays small.
+
+    The count at the last rank is read off the number of words per count. Of the words that share
+    it, those with the lowest hashes are taken: as many as are due, and six deviations more.
+    """
+    held = 0
+    for row in counted.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
+        if held + row["count"] >= most:
+            due = most - held
+            share = min(1.0, (due + 6 * due**0.5 + 10) / row["count"])
+            low = F.col("place") < int(share * 2**64) - 2**63 if share < 1 else F.lit(True)
+            return counted.filter((F.col("n") > row["n"]) | ((F.col("n") == row["n"]) & low))
+        held += row["count"]
+    return counted
+
+
 def find_secrets(
     docs: DataFrame,
     words: DataFrame,
