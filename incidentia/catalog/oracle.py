@@ -399,6 +399,103 @@ logits AS (
 )
 
 
+_CALIBRATION = (
+    _SUM_LOGITS
+    + f""",
+judged AS (
+  SELECT p.vec_id, max(p) AS confidence,
+         arg_max(c, (z, -c)) = max(e.label) % 5 AS correct
+  FROM probs p JOIN embeddings e USING (vec_id) GROUP BY p.vec_id),
+bins AS (
+  SELECT least(floor(confidence * 50), 49)::BIGINT AS bin, count(*) AS n,
+         avg(confidence) AS confidence, avg(correct::DOUBLE) AS accuracy
+  FROM judged GROUP BY 1)"""
+)
+
+_LABEL_SCORES = (
+    _SUM_LOGITS
+    + f""",
+lab AS (SELECT unnest({_list(LABELS)}) AS label, unnest(range(5)) AS c),
+scored AS (
+  SELECT vec_id, l.c, label, round(1 / (1 + exp(-z)), 3) AS score,
+         CAST('0x' || substr(md5(label || '?' || CAST(vec_id AS VARCHAR)), 1, 1) AS INTEGER) < 5 AS t
+  FROM logits JOIN lab l ON l.c = logits.c),
+ranks AS (
+  SELECT a.vec_id, a.c, a.t, count(*) AS rank, count(*) FILTER (WHERE b.t) AS true_rank
+  FROM scored a JOIN scored b ON a.vec_id = b.vec_id AND b.score >= a.score
+  GROUP BY ALL),
+rows_ AS (
+  SELECT vec_id, count(*) FILTER (WHERE t AND score >= 0.5) AS tp, count(*) FILTER (WHERE t) AS nt,
+         count(*) FILTER (WHERE score >= 0.5) AS np
+  FROM scored GROUP BY vec_id),
+ranking AS (
+  SELECT vec_id, coalesce(max(rank) FILTER (WHERE t), 0) AS coverage,
+         CASE WHEN count(*) FILTER (WHERE t) IN (0, 5) THEN 1
+              ELSE avg(true_rank / rank::DOUBLE) FILTER (WHERE t) END AS lrap
+  FROM ranks GROUP BY vec_id)"""
+)
+
+
+def _hex(tag: str) -> str:
+    return f"CAST('0x' || substr(md5('{tag}' || key), 1, 1) AS INTEGER)"
+
+
+_ENTITY_SPANS = f"""
+keyed AS (
+  SELECT doc_id AS doc, CAST(doc_id AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS key
+  FROM documents, (SELECT unnest([0, 1, 2, 3, 3]) AS k)),
+kinds AS (SELECT ['ADVERSE_EVENT', 'BODY_PART', 'DEVICE'] AS names),
+true_spans AS (
+  SELECT doc, names[{_hex("c")} % 3 + 1] AS type, 7 * {_hex("a")} + {_hex("b")} AS s,
+         7 * {_hex("a")} + {_hex("b")} + 4 + {_hex("l")} AS e
+  FROM keyed, kinds),
+guesses AS (
+  SELECT doc, names[({_hex("c")} + ({_hex("y")} = 0)::INTEGER) % 3 + 1] AS type,
+         7 * {_hex("a")} + {_hex("b")} + greatest({_hex("g")} - 10, 0) AS s,
+         7 * {_hex("a")} + {_hex("b")} + greatest({_hex("g")} - 10, 0) + 4 + {_hex("l")} AS e
+  FROM keyed, kinds WHERE {_hex("h")} > 2),
+sides AS (
+  SELECT doc, type, s, e, coalesce(a, 0) AS a, coalesce(b, 0) AS b
+  FROM (SELECT doc, type, s, e, count(*) AS a FROM true_spans GROUP BY ALL)
+  FULL JOIN (SELECT doc, type, s, e, count(*) AS b FROM guesses GROUP BY ALL) USING (doc, type, s, e)),
+pairs AS (
+  SELECT x.doc, x.type, x.s, x.e, y.s AS gs, y.e AS ge, x.a - least(x.a, x.b) AS na,
+         y.b - least(y.a, y.b) AS nb, least(x.e, y.e) - greatest(x.s, y.s) AS shared,
+         greatest(x.e, y.e) - least(x.s, y.s) AS spanned
+  FROM sides x JOIN sides y ON x.doc = y.doc AND x.type = y.type AND x.s < y.e AND y.s < x.e
+    AND (x.s <> y.s OR x.e <> y.e)
+  WHERE x.a > x.b AND y.b > y.a),
+rounds AS (
+  SELECT *, 0::BIGINT AS m FROM pairs
+  UNION ALL
+  SELECT * FROM (
+    SELECT doc, type, s, e, gs, ge, (na - sum(m) OVER (PARTITION BY doc, type, s, e))::BIGINT AS na,
+           (nb - sum(m) OVER (PARTITION BY doc, type, gs, ge))::BIGINT AS nb, shared, spanned, m
+    FROM (
+      SELECT doc, type, s, e, gs, ge, na, nb, shared, spanned,
+             CASE WHEN i = 1 AND j = 1 THEN least(na, nb) ELSE 0 END AS m
+      FROM (
+        SELECT *,
+          row_number() OVER (PARTITION BY doc, type, s, e ORDER BY shared DESC, spanned, s, e, gs, ge) AS i,
+          row_number() OVER (PARTITION BY doc, type, gs, ge ORDER BY shared DESC, spanned, s, e, gs, ge) AS j
+        FROM rounds WHERE m = 0)))
+  WHERE m > 0 OR (na > 0 AND nb > 0)),
+per_type AS (
+  SELECT type, sum(a) AS n_true, sum(b) AS n_predicted, sum(least(a, b)) AS strict_hits,
+         sum(least(a, b)) + coalesce(any_value(extra), 0) AS partial_hits
+  FROM sides LEFT JOIN (
+    SELECT type, sum(m * shared / spanned::DOUBLE) AS extra FROM rounds WHERE m > 0 GROUP BY type)
+    USING (type)
+  GROUP BY type),
+bounds AS (
+  SELECT sum(least(a, b)) / sum(a)::DOUBLE AS accuracy
+  FROM (SELECT sum(a) AS a, sum(b) AS b FROM sides GROUP BY doc, s, e)),
+every AS (
+  SELECT * FROM per_type
+  UNION ALL
+  SELECT 'all', sum(n_true), sum(n_predicted), sum(strict_hits), sum(partial_hits) FROM per_type)"""
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
 
@@ -727,6 +824,118 @@ FROM scored""",
   count(*) AS n_splits FROM fold_f1""",
     )
 
+    q["chance_agreement"] = _with(
+        _PAIRS
+        + """,
+margins AS (
+  SELECT c, count(*) FILTER (WHERE label = c) AS a, count(*) FILTER (WHERE prediction = c) AS b
+  FROM pairs, (SELECT DISTINCT unnest([label, prediction]) AS c FROM pairs) GROUP BY c),
+agreed AS (
+  SELECT avg((label = prediction)::DOUBLE) AS o,
+         (SELECT sum(a * b)::DOUBLE FROM margins) / (count(*) * count(*)) AS x
+  FROM pairs)""",
+        """SELECT round(o, 6) AS observed, round(x, 6) AS expected,
+  round((o - x) / (1 - x), 6) AS kappa FROM agreed""",
+    )
+    q["calibration_bins"] = _with(
+        _CALIBRATION,
+        "SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM bins",
+    )
+    q["calibration_error"] = _with(
+        _CALIBRATION,
+        """SELECT round(sum(n * abs(accuracy - confidence)) / sum(n), 6) AS expected_error,
+  round(max(abs(accuracy - confidence)), 6) AS largest_error FROM bins""",
+    )
+    growth = "(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE))"
+    q["latency_percentiles"] = f"""
+WITH counts AS (
+  SELECT event_type, CASE WHEN value > 0 THEN ceil(ln(value) / ln{growth}) END AS bucket,
+         count(*) AS k
+  FROM events WHERE value IS NOT NULL GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(k) OVER (PARTITION BY event_type) AS n,
+         sum(k) OVER (PARTITION BY event_type ORDER BY bucket NULLS FIRST) AS upto
+  FROM counts)
+SELECT event_type, share, coalesce(round(2 * pow({growth}, bucket) / ({growth} + 1), 6), 0) AS value,
+  CAST(n AS BIGINT) AS n
+FROM ranked, (SELECT unnest([CAST(0.5 AS DOUBLE), 0.95, 0.99]) AS share)
+WHERE upto >= ceil(share * n) AND upto - k < ceil(share * n)"""
+    q["composite_score"] = _with(
+        _SCORED,
+        f"""SELECT round(CAST(0.5 AS DOUBLE) * {_WF1} + CAST(0.3 AS DOUBLE) * avg(f1)
+  + CAST(0.2 AS DOUBLE) * sum(tp) / sum(support), 6) AS composite FROM scored""",
+    )
+
+    # Several labels
+    hot = [f"max(severity_label = {_str(label)})" for label in LABELS]
+    q["multi_hot_labels"] = _with(
+        INCOMING
+        + f""",
+grouped AS (
+  SELECT report_number, [{", ".join(hot)}] AS hot FROM incoming WHERE report_number <> ''
+  GROUP BY report_number
+  UNION ALL
+  SELECT report_number, [{", ".join(hot).replace("max(", "(")}] FROM incoming
+  WHERE coalesce(report_number, '') = '')""",
+        f"""SELECT array_to_string(list_transform(list_filter(range(1, 6), lambda i: hot[i]),
+    lambda i: {_list(LABELS)}[i]), ',') AS label_set,
+  array_to_string(list_transform(hot, lambda x: x::INTEGER::VARCHAR), '') AS multi_hot,
+  count(*) AS n, max(report_number) AS last_number
+FROM grouped GROUP BY ALL""",
+    )
+    q["sigmoid_label_sets"] = _with(
+        _LABEL_SCORES,
+        """SELECT vec_id, coalesce(string_agg(label, ',' ORDER BY c) FILTER (WHERE t), '') AS true_labels,
+  coalesce(string_agg(label, ',' ORDER BY c) FILTER (WHERE score >= 0.5), '') AS above_half,
+  coalesce(string_agg(label, ',' ORDER BY c)
+    FILTER (WHERE score >= ([CAST(0.3 AS DOUBLE), 0.4, 0.5, 0.6, 0.7])[c::INTEGER + 1]), '') AS above_own
+FROM scored GROUP BY vec_id""",
+    )
+    q["best_thresholds"] = _with(
+        _LABEL_SCORES
+        + """,
+steps AS (
+  SELECT label, score,
+         sum(t::INTEGER) OVER down AS tp, count(*) OVER down AS predicted,
+         sum(t::INTEGER) OVER (PARTITION BY label) AS pos, count(*) OVER (PARTITION BY label) AS n
+  FROM scored WINDOW down AS (PARTITION BY label ORDER BY score DESC RANGE UNBOUNDED PRECEDING)),
+rated AS (SELECT DISTINCT *, 2 * tp / (predicted + pos)::DOUBLE AS f1 FROM steps)""",
+        """SELECT label, score AS threshold, round(f1, 6) AS f1, pos::BIGINT AS n_positive, n
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, score DESC) AS k FROM rated)
+WHERE k = 1""",
+    )
+    q["multilabel_metrics"] = _with(
+        _LABEL_SCORES
+        + """,
+per_label AS (
+  SELECT label, 2 * count(*) FILTER (WHERE t AND score >= 0.5)
+    / nullif(count(*) FILTER (WHERE t) + count(*) FILTER (WHERE score >= 0.5), 0)::DOUBLE AS f1
+  FROM scored GROUP BY label)""",
+        """SELECT round(2 * sum(tp) / (sum(nt) + sum(np))::DOUBLE, 6) AS micro_f1,
+  (SELECT round(sum(coalesce(f1, 0)) / 5, 6) FROM per_label) AS macro_f1,
+  round(avg((nt + np - 2 * tp) / CAST(5 AS DOUBLE)), 6) AS hamming_loss,
+  round(avg(CASE WHEN nt + np - tp = 0 THEN 1 ELSE tp / (nt + np - tp)::DOUBLE END), 6) AS jaccard,
+  (SELECT round(avg(coverage), 6) FROM ranking) AS coverage_error,
+  (SELECT round(avg(lrap), 6) FROM ranking) AS ranking_precision
+FROM rows_""",
+    )
+
+    # Entities
+    q["entity_scores"] = "WITH RECURSIVE " + (
+        _ENTITY_SPANS.strip()
+        + """
+SELECT type, n_true::BIGINT AS n_true, n_predicted::BIGINT AS n_predicted,
+  strict_hits::BIGINT AS strict_hits, round(partial_hits, 6)::DOUBLE AS partial_hits,
+  round(strict_hits / n_predicted::DOUBLE, 6) AS strict_precision,
+  round(strict_hits / n_true::DOUBLE, 6) AS strict_recall,
+  round(2 * strict_hits / (n_true + n_predicted)::DOUBLE, 6) AS strict_f1,
+  round(partial_hits / n_predicted, 6) AS partial_precision,
+  round(partial_hits / n_true, 6) AS partial_recall,
+  round(2 * partial_hits / (n_true + n_predicted), 6) AS partial_f1,
+  CASE WHEN type = 'all' THEN round(accuracy, 6) END AS boundary_accuracy
+FROM every, bounds"""
+    )
+
     # Features
     q["term_frequency"] = _with(
         GRAMS,

@@ -14,13 +14,16 @@ from incidentia.functions import parse
 from incidentia.functions import promotion as PR
 from incidentia.functions import text as TX
 from incidentia.functions.arrays import total
+from incidentia.operators import entities as EN
 from incidentia.operators import features as FE
 from incidentia.operators import filters as FI
 from incidentia.operators import linear as LI
 from incidentia.operators import merge as ME
 from incidentia.operators import metrics as M
 from incidentia.operators import models as MO
+from incidentia.operators import multilabel as ML
 from incidentia.operators import records as RE
+from incidentia.operators import reliability as RL
 from incidentia.operators import runs as RU
 from incidentia.operators import splits as SP
 from incidentia.plans import explore as EX
@@ -554,6 +557,157 @@ def cv_summary(spark, sf):
     )
 
 
+# --- Agreement, calibration, percentiles ------------------------------------------------------
+
+
+@query
+def chance_agreement(spark, sf):
+    kappa = RL.cohen_kappa(counts(spark, sf))
+    return kappa.select(*(rounded(c).alias(c) for c in kappa.columns))
+
+
+def _calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """The confidence of each scored vector, and whether its own label was predicted."""
+    own = TB.read_table(spark, sf, "embeddings").select(
+        "vec_id", F.get(F.array(*map(F.lit, LABELS)), F.col("label") % len(LABELS)).alias("own")
+    )
+    scored = _scored_embeddings(spark, sf).join(own, "vec_id")
+    return RL.calibration_table(
+        scored.select(
+            F.array_max(F.map_values("probabilities")).alias("confidence"),
+            (F.col("predicted_label") == F.col("own")).alias("right"),
+        ),
+        "confidence",
+        "right",
+        50,
+    )
+
+
+@query
+def calibration_bins(spark, sf):
+    return _calibration(spark, sf).select(
+        "bin", "n", rounded("confidence").alias("confidence"), rounded("accuracy").alias("accuracy")
+    )
+
+
+@query
+def calibration_error(spark, sf):
+    found = RL.calibration_error(_calibration(spark, sf))
+    return found.select(*(rounded(c).alias(c) for c in found.columns))
+
+
+@query
+def latency_percentiles(spark, sf):
+    """Percentiles of the events' values by type, as if they were response times."""
+    events = TB.read_table(spark, sf, "events")
+    found = RL.merged_percentiles(events, "value", [0.5, 0.95, 0.99], ["event_type"])
+    return found.withColumn("value", rounded("value"))
+
+
+@query
+def composite_score(spark, sf):
+    """Weighted F1, macro F1 and accuracy of the language guess in one score."""
+    parts = [
+        F.max(F.when(F.col("class") == name, F.col("f1")))
+        for name in ("weighted avg", "macro avg", "accuracy")
+    ]
+    report = M.classification_report(counts(spark, sf))
+    return report.agg(rounded(RL.composite_score(*parts)).alias("composite"))
+
+
+# --- Several labels ---------------------------------------------------------------------------
+
+
+@query
+def multi_hot_labels(spark, sf):
+    """The labels of all reports that share a number, folded to counts per label set."""
+    rows = ML.multi_hot(TB.incoming(spark, sf))
+    return rows.groupBy(
+        F.array_join("label_set", ",").alias("label_set"),
+        F.array_join(F.transform("multi_hot", lambda x: x.cast("string")), "").alias("multi_hot"),
+    ).agg(F.count("*").alias("n"), F.max("report_number").alias("last_number"))
+
+
+def _label_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with five probabilities, and the labels they truly have by a digit per label."""
+    key = F.col("vec_id")
+    true = F.filter(
+        F.array(*(F.when(TB.digit(f"{label}?", key) < 5, F.lit(label)) for label in LABELS)),
+        lambda x: x.isNotNull(),
+    )
+    scores = F.transform(ML.sigmoid(embedding_logits(F.col("embedding"))), lambda p: F.round(p, 3))
+    return TB.read_table(spark, sf, "embeddings").select(
+        "vec_id", true.alias("true_labels"), scores.alias("scores")
+    )
+
+
+@query
+def sigmoid_label_sets(spark, sf):
+    rows = _label_scores(spark, sf)
+    return rows.select(
+        "vec_id",
+        F.array_join("true_labels", ",").alias("true_labels"),
+        F.array_join(ML.label_set(F.col("scores")), ",").alias("above_half"),
+        F.array_join(ML.label_set(F.col("scores"), thresholds=[0.3, 0.4, 0.5, 0.6, 0.7]), ",").alias(
+            "above_own"
+        ),
+    )
+
+
+@query
+def best_thresholds(spark, sf):
+    rows = _label_scores(spark, sf)
+    pairs = F.arrays_zip(F.array(*map(F.lit, LABELS)).alias("label"), F.col("scores"))
+    each = rows.select("true_labels", F.inline(pairs)).toDF("true_labels", "label", "score")
+    found = ML.best_thresholds(each.withColumn("is_true", F.array_contains("true_labels", F.col("label"))))
+    return found.withColumn("f1", rounded("f1"))
+
+
+@query
+def multilabel_metrics(spark, sf):
+    rows = _label_scores(spark, sf).withColumn("predicted_labels", ML.label_set(F.col("scores")))
+    found = ML.multilabel_metrics(rows, scores_col="scores")
+    return found.select(*(rounded(c).alias(c) for c in found.columns))
+
+
+# --- Entities ---------------------------------------------------------------------------------
+
+ENTITY_TYPES = ["ADVERSE_EVENT", "BODY_PART", "DEVICE"]
+
+
+def rule_spans(spark: SparkSession, sf: str, guessed: bool) -> DataFrame:
+    """Five spans per document by digits of its id; they overlap, and the last repeats the fourth.
+
+    Guesses miss some, move some, and change the type of some.
+    """
+    docs = TB.read_table(spark, sf, "documents").select("doc_id")
+    rows = docs.select("doc_id", F.explode(F.array(*map(F.lit, [0, 1, 2, 3, 3]))).alias("k"))
+    key = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string"))
+    start = 7 * TB.digit("a", key) + TB.digit("b", key)
+    kind = TB.digit("c", key)
+    if guessed:
+        start = start + F.greatest(TB.digit("g", key) - 10, F.lit(0))
+        kind = kind + F.when(TB.digit("y", key) == 0, 1).otherwise(0)
+        rows = rows.filter(TB.digit("h", key) > 2)
+    return rows.select(
+        "doc_id",
+        F.get(F.array(*map(F.lit, ENTITY_TYPES)), (kind % 3).cast("int")).alias("type"),
+        start.cast("int").alias("start"),
+        (start + 4 + TB.digit("l", key)).cast("int").alias("end"),
+    )
+
+
+@query
+def entity_scores(spark, sf):
+    found = EN.entity_scores(rule_spans(spark, sf, False), rule_spans(spark, sf, True))
+    exact = ["n_true", "n_predicted", "strict_hits"]
+    return found.select(
+        F.coalesce("type", F.lit("all")).alias("type"),
+        *exact,
+        *(rounded(c).alias(c) for c in found.columns if c not in ("type", *exact)),
+    )
+
+
 # --- Features ---------------------------------------------------------------------------------
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentia.functions.promotion import should_promote
 from incidentia.functions.rounding import round_score
+from incidentia.operators.ordered import BLOCK, in_blocks, running
+from incidentia.schema import MIN_RECORDS_FOR_COMPARISON, PROMOTION_MIN_DELTA
+from incidentia.session import Scratch, written_table
 
 HISTORY = 20
-# A log row is one training run; one run an hour stays below this for eleven years.
-MAX_RUNS = 100_000
+# Runs of a segment that one step of the promotion history folds.
+STEP_RUNS = 4096
 
 
 def latest_runs(runs: DataFrame, n: int = HISTORY) -> DataFrame:
@@ -76,38 +78,81 @@ def best_epoch(candidates: DataFrame, by: str = "model_id") -> DataFrame:
 def promotion_history(runs: DataFrame) -> DataFrame:
     """``(run_no, promoted, champion_cv_f1)`` per run of ``(run_no, cv_f1, training_records)``.
 
-    Each decision depends on the champion left by the runs before, so the log is folded in order.
-    It has one row per training run and is held to ``MAX_RUNS``.
+    Each decision depends on the champion that the runs before have left. Three facts let it be found
+    without going through the log in one task. A run that is promoted whatever the champion, such as
+    the first one, starts afresh, so the log falls into segments that do not touch each other. Inside
+    a segment only a run whose score is above all earlier ones can be promoted. And of these, each step
+    looks at no more than ``STEP_RUNS`` per segment. Running values go over blocks of the log.
     """
-    item = F.struct("run_no", "cv_f1", "training_records")
-    blank = F.struct(
-        F.lit(None).cast("double").alias("champion"),
-        F.array().cast("array<struct<run_no:bigint,promoted:boolean,champion_cv_f1:double>>")
-        .alias("out"),
+    cv = F.col("cv_f1")
+    with Scratch(runs.sparkSession) as scratch:
+        log = in_blocks(runs.select("run_no", "cv_f1", "training_records"), scratch, "run_no")
+        few = F.coalesce(F.col("training_records") < MIN_RECORDS_FOR_COMPARISON, F.lit(False))
+
+        def add(table: DataFrame, value: Column, out: str, **how) -> DataFrame:
+            # Written, as the next value reads this one twice.
+            return scratch.table(running(table, value, out, ["run_no"], **how), out)
+
+        log = add(log, F.lit(1), "nth")
+        # After a run without a score there is no champion, so the next one is promoted as well.
+        log = add(log, cv.isNotNull().cast("int"), "scored_before", before=True)
+        always = ((F.col("nth") == 1) | few).cast("int")
+        log = add(log, always, "fresh", how="max", by=["scored_before"])
+        log = add(log, F.col("fresh"), "segment")
+        log = add(log, cv, "best_before", how="max", by=["segment"], before=True)
+        log = log.select("run_no", "cv_f1", "fresh", "segment", "best_before", BLOCK)
+        promoted = log.filter("fresh = 1").select("segment", "run_no", "cv_f1")
+        champions = promoted.select("segment", F.col("cv_f1").alias("champion"))
+        left = log.filter("fresh = 0 AND cv_f1 > best_before").select("segment", "run_no", "cv_f1")
+        while True:
+            better = left.join(champions, "segment").filter(_improves(cv, F.col("champion")))
+            better = scratch.table(better, "better")
+            if better.isEmpty():
+                break
+            found = scratch.table(_promoted_among_first(better), "promoted")
+            promoted = promoted.unionByName(found.select("segment", F.inline("steps")))
+            champions = found.select("segment", F.col("champion"))
+            left = better.join(found.select("segment", "seen"), "segment").filter("run_no > seen")
+            left = left.select("segment", "run_no", "cv_f1")
+        marked = log.join(
+            promoted.select("run_no", F.lit(True).alias("promoted")), "run_no", "left"
+        ).withColumn("promoted", F.coalesce("promoted", F.lit(False)))
+        champion = F.when(F.col("promoted"), cv)
+        held = running(marked, champion, "champion_cv_f1", ["run_no"], how="last", by=["segment"])
+        return written_table(
+            held.select(F.col("run_no").cast("long").alias("run_no"), "promoted", "champion_cv_f1"),
+            "promotions",
+        )
+
+
+def _improves(cv_f1: Column, champion: Column) -> Column:
+    return cv_f1 - champion >= F.lit(PROMOTION_MIN_DELTA)
+
+
+def _promoted_among_first(better: DataFrame) -> DataFrame:
+    """Per segment the promotions among its first runs that beat the champion: (segment, steps,
+    champion, seen), where ``seen`` is the last run looked at."""
+    first = Window.partitionBy("segment").orderBy("run_no")
+    some = better.withColumn("__k", F.row_number().over(first)).filter(F.col("__k") <= STEP_RUNS)
+    listed = some.groupBy("segment").agg(
+        F.array_sort(F.collect_list(F.struct("run_no", "cv_f1"))).alias("log"),
+        F.first("champion").alias("champion"),
+        F.max("run_no").alias("seen"),
     )
+    kind = dict(better.dtypes)
+    empty = F.array().cast(f"array<struct<run_no:{kind['run_no']},cv_f1:double>>")
+    start = F.struct(F.col("champion").alias("champion"), empty.alias("out"))
 
     def step(acc: Column, run: Column) -> Column:
-        promote = should_promote(
-            run["cv_f1"],
-            F.coalesce(acc["champion"], F.lit(0.0)),
-            run["training_records"],
-            acc["champion"].isNull(),
-        )
-        champion = F.when(promote, run["cv_f1"]).otherwise(acc["champion"])
-        entry = F.struct(
-            run["run_no"].cast("long").alias("run_no"),
-            promote.alias("promoted"),
-            champion.alias("champion_cv_f1"),
-        )
-        return F.struct(champion.alias("champion"), F.array_append(acc["out"], entry).alias("out"))
-
-    log = runs.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("log")).select(
-        F.when(F.col("n") <= MAX_RUNS, F.col("log"))
-        .otherwise(F.raise_error(F.lit("run log beyond its bound")))
-        .alias("log")
+        return F.when(
+            _improves(run["cv_f1"], acc["champion"]),
+            F.struct(run["cv_f1"].alias("champion"), F.array_append(acc["out"], run).alias("out")),
+        ).otherwise(acc)
+
+    folded = listed.select("segment", "seen", F.aggregate("log", start, step).alias("end"))
+    return folded.select(
+        "segment", "seen", F.col("end.champion").alias("champion"), F.col("end.out").alias("steps")
     )
-    folded = F.aggregate("log", blank, step, lambda acc: acc["out"])
-    return log.select(F.inline(folded))
 
 
 def dashboard_totals(accumulated: DataFrame, champion: DataFrame) -> DataFrame:
