@@ -1068,6 +1068,31 @@ FROM split WHERE is_test""",
     q["embedding_head"] = """
 SELECT vec_id, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes,
   CAST(1 AS DOUBLE) AS total, TRUE AS is_best FROM embeddings"""
+    known = _WEIGHTS.replace("WHERE length(clean_text) > 10", "WHERE length(clean_text) > 10 AND severity_label <> 'UNKNOWN'")
+    for kind, push in (
+        ("svm", "CASE WHEN own = label THEN -2 * own_weight ELSE 2 END"),
+        ("logreg", "own_weight * (1 / k - (own = label)::DOUBLE)"),
+    ):
+        q[f"{kind}_optimality"] = _with(
+            known
+            + f""",
+class_n AS (
+  SELECT severity_label AS label, count(*) AS n, sum(count(*)) OVER () AS n_all,
+         (count(*) OVER ())::DOUBLE AS k
+  FROM cleaned GROUP BY 1),
+pushes AS (
+  SELECT report_number, c.label, {push} AS push
+  FROM (SELECT report_number, label AS own, n_all / (k * n) AS own_weight, k
+        FROM cleaned JOIN class_n ON label = severity_label) r, class_n c),
+starts AS (
+  SELECT label, sum(weight * push) AS g FROM weights JOIN pushes USING (report_number)
+  GROUP BY label, term
+  UNION ALL SELECT label, sum(push) FROM pushes GROUP BY label)""".replace(
+                "(1 / k - ", "(1 / r.k - "
+            ),
+            """SELECT label, any_value(n) AS n, round(sqrt(sum(g * g)), 4) AS start_norm, TRUE AS is_minimum
+FROM starts JOIN class_n USING (label) GROUP BY label""",
+        )
     q["training_job"] = _with(
         _TRAINING,
         """SELECT count(*) AS training_records, count(DISTINCT severity_label) AS n_classes,

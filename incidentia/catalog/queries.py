@@ -22,6 +22,7 @@ from incidentia.operators import merge as ME
 from incidentia.operators import metrics as M
 from incidentia.operators import models as MO
 from incidentia.operators import multilabel as ML
+from incidentia.operators import optimality as OP
 from incidentia.operators import records as RE
 from incidentia.operators import reliability as RL
 from incidentia.operators import runs as RU
@@ -1000,6 +1001,36 @@ def fit_svm(spark, sf):
     return judged.drop("total")
 
 
+#: Share of its first length that the gradient of a finished fit may have.
+GRADIENT_SHARE = {"svm": 1e-3, "logreg": 5e-2}
+
+
+def _optimality(spark: SparkSession, sf: str, model_type: str) -> DataFrame:
+    """Per class the gradient's length at zero coefficients, and whether the fit has brought it down."""
+    rows = stored_training_rows(spark, sf)
+    model = MO.fit_text_model(rows, MO.Params(model_type))
+    weights = written_table(FE.tfidf_weights(rows, model.space), "weights")
+    coefficients = written_table(model.coefficients(spark), "coefficients")
+    intercepts = dict(zip(model.labels, model.head.intercepts()))
+    norms = OP.gradient_norms(
+        weights, rows.select("report_number", "severity_label"), coefficients, intercepts, model_type
+    )
+    small = F.col("norm") <= GRADIENT_SHARE[model_type] * F.col("start_norm")
+    return norms.select(
+        "label", "n", F.round("start_norm", 4).alias("start_norm"), small.alias("is_minimum")
+    )
+
+
+@query
+def svm_optimality(spark, sf):
+    return _optimality(spark, sf, "svm")
+
+
+@query
+def logreg_optimality(spark, sf):
+    return _optimality(spark, sf, "logreg")
+
+
 @query
 def cross_validate_logreg(spark, sf):
     return MO.cross_validate(stored_training_rows(spark, sf))
