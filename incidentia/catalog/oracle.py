@@ -1057,6 +1057,29 @@ SELECT run_no, promoted, champion AS champion_cv_f1 FROM chain"""
         """SELECT (SELECT count(*) FROM held) AS accumulated_records, f1 AS champion_f1,
   training_records AS champion_records
 FROM sruns ORDER BY run_no DESC LIMIT 1""",
+    )
+    placed = """,
+placed AS (
+  SELECT doc_id, doc_id // 20 AS page,
+         row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS pos FROM docs)"""
+    q["page_records"] = _with(
+        _RAW + placed,
+        """SELECT page AS page_no, pos::INTEGER AS pos, report_number, date_received, event_type,
+  severity_label, device_name, narrative_text
+FROM parsed JOIN placed ON doc_id = page_no""",
+    )
+    q["ingest_broken_pages"] = _with(
+        _RAW
+        + placed
+        + f""",
+held AS (SELECT CAST(doc_id AS VARCHAR) AS number FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+bad AS (SELECT DISTINCT page FROM placed WHERE {_digit("z", "page")} < 3),
+good AS (
+  SELECT * FROM parsed JOIN placed ON doc_id = page_no WHERE page NOT IN (SELECT page FROM bad)),
+new AS (SELECT * FROM good WHERE report_number = '' OR report_number NOT IN (SELECT number FROM held))""",
+        """SELECT (SELECT count(*) FROM bad) AS pages_aside, (SELECT count(*) FROM bad) AS pages_rejected,
+  (SELECT count(*) FROM good) AS batch_returned, (SELECT count(*) FROM new) AS new_records_added,
+  (SELECT count(*) FROM held) + (SELECT count(*) FROM new) AS total_accumulated""",
     )
     # Fitted models: what holds whatever the solver's last digits
     classes = "(SELECT count(DISTINCT severity_label) FROM labelled) AS n_classes"

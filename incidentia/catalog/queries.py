@@ -424,6 +424,29 @@ def incremental_ingest(spark, sf):
     return load_accumulated(spark, f"{root}/table").select(*REPORT.names)
 
 
+@query
+def page_records(spark, sf):
+    """Reports of pages that hold many, with their place in the page."""
+    return RE.flatten_records(explode_pages(TB.many_record_pages(spark, sf)), keep=["page_no", "pos"])
+
+
+@query
+def ingest_broken_pages(spark, sf):
+    """Counts of a cycle over pages of many reports of which some are cut short."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    page = F.col("page_no")
+    cut = F.when(TB.digit("z", page) < 3, F.expr("left(value, length(value) - 2)")).otherwise(F.col("value"))
+    TB.many_record_pages(spark, sf).select(cut.alias("value")).write.text(f"{root}/pages")
+    save_accumulated(TB.accumulated(spark, sf), f"{root}/table", -1)
+    summary = ingest_available(
+        spark, f"{root}/pages", f"{root}/table", f"{root}/checkpoint", page_per_line=True
+    )
+    aside = spark.read.parquet(f"{root}/table_rejected").agg(F.count("*").alias("pages_aside"))
+    counts = summary.as_dict()
+    names = ["batch_returned", "new_records_added", "total_accumulated", "pages_rejected"]
+    return aside.select("pages_aside", *(F.lit(counts[n]).cast("long").alias(n) for n in names))
+
+
 # --- Splits -----------------------------------------------------------------------------------
 
 

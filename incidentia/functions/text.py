@@ -203,10 +203,16 @@ def ngrams(tokens: Column, ngram_range: tuple[int, int] = NGRAM_RANGE) -> Column
 RESERVED_TOKENS = 2
 
 
+def _places(max_tokens: int) -> int:
+    if max_tokens <= RESERVED_TOKENS:
+        raise ValueError(f"a sequence needs more than {RESERVED_TOKENS} places")
+    return max_tokens - RESERVED_TOKENS
+
+
 def truncate_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """The tokens of a cleaned text that fit a sequence beside its two marks."""
-    return F.slice(F.split(text, " "), 1, max_tokens - RESERVED_TOKENS)
+    return F.slice(F.split(text, " "), 1, _places(max_tokens))
 
 
 def is_truncated(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    return F.size(F.split(text, " ")) > max_tokens - RESERVED_TOKENS
+    return F.size(F.split(text, " ")) > _places(max_tokens)

@@ -17,7 +17,7 @@ def run_ingestion(
     checkpoint_path: str,
     store: ModelStore,
     retrain: bool = True,
-    model_type: str = "logreg",
+    model_type: str | None = None,
     **train_options,
 ) -> dict:
     """Ingest and, given new records or no model yet, run the training job on everything held."""

@@ -14,13 +14,24 @@ def page_number(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"(\d+)\D*$", 1).try_cast("long")
 
 
+def parsed_pages(pages: DataFrame, body: str = "value") -> DataFrame:
+    """Adds ``doc``, the page as a VARIANT; null where the body is no JSON."""
+    return pages.withColumn("doc", F.try_parse_json(F.col(body)))
+
+
+def explode_parsed(parsed: DataFrame, page: str = "page_no") -> DataFrame:
+    """One row ``(page_no, pos, record)`` per report of each parsed page; other pages give none."""
+    results = F.try_variant_get("doc", "$.results", "array<variant>")
+    return parsed.select(F.col(page).alias("page_no"), F.posexplode(results).alias("pos", "record"))
+
+
 def explode_pages(pages: DataFrame, body: str = "value", page: str = "page_no") -> DataFrame:
-    """One row ``(page_no, pos, record)`` per report of each page; empty pages give none.
+    """``explode_parsed`` of page bodies.
 
-    A body that is no JSON fails, as a page that was cut short has lost reports.
+    A body that is no JSON fails, as a page that was cut short has lost reports; the stream sets such
+    pages aside instead.
     """
-    results = F.try_variant_get(F.parse_json(F.col(body)), "$.results", "array<variant>")
-    return pages.select(F.col(page).alias("page_no"), F.posexplode(results).alias("pos", "record"))
+    return explode_parsed(pages.withColumn("doc", F.parse_json(F.col(body))), page)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -212,6 +212,17 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def many_record_pages(spark: SparkSession, sf_dir: str, per_page: int = 20) -> DataFrame:
+    """``(page_no, value)``: the records of ``raw_pages``, ``per_page`` to a page in their order."""
+    key = F.col("page_no")
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "value")))
+    # Each value is {"results":[record]}: what stands between the brackets.
+    inner = F.transform(ordered["value"], lambda v: F.substring(v, F.lit(13), F.length(v) - 14))
+    joined = F.concat(F.lit('{"results":['), F.array_join(inner, ","), F.lit("]}"))
+    pages = raw_pages(spark, sf_dir).groupBy(F.floor(key / per_page).alias("page"))
+    return pages.agg(joined.alias("value")).select(F.col("page").alias("page_no"), "value")
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per day of events, in the layout of the run log."""
     daily = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,9 @@ from incidentia.operators.merge import dedup_batch, new_only
 from incidentia.operators.records import flatten_records
 from incidentia.schema import REPORT
 from incidentia.session import Scratch
-from incidentia.sources.pages import explode_pages, page_number
+from incidentia.sources.pages import explode_parsed, page_number, parsed_pages
 from incidentia.sources.reports import load_accumulated, save_accumulated
+from incidentia.streaming.keys import KeyStore
 
 
 @dataclass
@@ -22,11 +23,17 @@ class IngestSummary:
     new_records_added: int = 0
     total_accumulated: int = 0
     retrain_triggered: bool = False
+    pages_rejected: int = 0
 
     def as_dict(self) -> dict:
         return asdict(self)
 
 
+def rejected_path(accumulated_path: str) -> str:
+    """Where the pages that are no JSON go, with their file and batch."""
+    return f"{accumulated_path}_rejected"
+
+
 def add_batch(
     spark: SparkSession,
     batch: DataFrame,
@@ -36,20 +43,48 @@ def add_batch(
 ) -> tuple[int, int]:
     """Append the reports of ``batch`` the table does not hold; ``(returned, added)``.
 
-    A replay overwrites its own ``batch_id`` and must not take its earlier rows for known ones.
-    The new rows are written aside first because the table they are compared with is the one
-    they go into.
+    Known numbers come from the table's key store, so the reports themselves are not read. A replay
+    overwrites its own ``batch_id`` and does not take its earlier rows for known ones. Rows are
+    counted as they are written.
     """
+    store = KeyStore(spark, accumulated_path)
+    store.index_missing()
+    one = F.count(F.lit(1)).alias("n")
+    returned, added = Observation(), Observation()
     with Scratch(spark) as scratch:
-        batch = scratch.table(batch.select(*REPORT.names), "batch")
-        returned = batch.count()
-        existing = load_accumulated(spark, accumulated_path).filter(
-            ~F.col("batch_id").eqNullSafe(batch_id)
-        )
+        batch = scratch.table(batch.select(*REPORT.names).observe(returned, one), "batch")
         rows = dedup_batch(batch) if dedup_within else batch
-        added = scratch.table(new_only(existing, rows), "added")
-        save_accumulated(added, accumulated_path, batch_id)
-        return returned, added.count()
+        new = new_only(store.held(rows, batch_id), rows).observe(added, one)
+        new = scratch.table(new, "added")
+        save_accumulated(new, accumulated_path, batch_id)
+        store.add(new, batch_id)
+    return returned.get["n"], added.get["n"]
+
+
+def take_pages(
+    spark: SparkSession,
+    pages: DataFrame,
+    accumulated_path: str,
+    batch_id: int,
+    dedup_within: bool = False,
+) -> tuple[int, int, int]:
+    """Add the reports of pages (value, page_no, file); ``(returned, added, pages set aside)``.
+
+    A page that is no JSON is written to ``rejected_path`` and stops no other page.
+    """
+    parsed = parsed_pages(pages)
+    seen = Observation()
+    broken = F.col("doc").isNull()
+    good = parsed.observe(seen, F.count_if(broken).alias("broken")).filter(~broken)
+    returned, added = add_batch(
+        spark, flatten_records(explode_parsed(good)), accumulated_path, batch_id, dedup_within
+    )
+    rejected = seen.get["broken"]
+    if rejected:
+        aside = parsed.filter(broken).select("file", "page_no", "value")
+        where = f"{rejected_path(accumulated_path)}/batch_id={batch_id}"
+        aside.write.mode("overwrite").parquet(where)
+    return returned, added, rejected
 
 
 def ingest_available(
@@ -69,19 +104,22 @@ def ingest_available(
     summary = IngestSummary()
 
     def take(pages: DataFrame, batch_id: int) -> None:
-        reports = flatten_records(explode_pages(pages))
-        returned, added = add_batch(spark, reports, accumulated_path, batch_id, dedup_within)
+        returned, added, rejected = take_pages(
+            spark, pages, accumulated_path, batch_id, dedup_within
+        )
         summary.batch_returned += returned
         summary.new_records_added += added
+        summary.pages_rejected += rejected
 
     page_schema = T.StructType([T.StructField("value", T.StringType())])
+    file = F.col("_metadata.file_name")
     pages = (
         spark.readStream.format("text")
         .schema(page_schema)
         .option("wholetext", str(not page_per_line).lower())
         .option("maxFilesPerTrigger", max_files_per_batch)
         .load(pages_path)
-        .select("value", page_number(F.col("_metadata.file_name")).alias("page_no"))
+        .select("value", page_number(file).alias("page_no"), file.alias("file"))
     )
     query = (
         pages.writeStream.foreachBatch(take)

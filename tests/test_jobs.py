@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from incidentia.plans.ingest import run_ingestion
 from incidentia.plans.train import ModelStore, train_job
 from incidentia.schema import REPORT
 from incidentia.sources import registry
-from incidentia.sources.reports import load_accumulated
-from incidentia.streaming.ingest import add_batch, ingest_available
+from incidentia.sources.reports import load_accumulated, save_accumulated
+from incidentia.streaming.ingest import add_batch, ingest_available, rejected_path
+from incidentia.streaming.keys import KeyStore, bucket_of
 
 TEXTS = {
     "Death": "the patient died after the pump stopped number",
@@ -66,6 +68,52 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert add_batch(spark, batch.unionByName(batch), table, 1, dedup_within=True) == (10, 0)
 
 
+def test_broken_page_is_set_aside(spark, tmp_path):
+    pages, table = tmp_path / "pages", str(tmp_path / "table")
+    land(pages, 1, [raw("a", "Death")])
+    (pages / "page_2.json").write_text('{"results": [{"report_number"')
+    land(pages, 3, [raw("b", "Death"), raw("c", "Injury")])
+    found = ingest_available(spark, str(pages), table, str(tmp_path / "cp"), max_files_per_batch=1)
+    assert (found.batch_returned, found.new_records_added, found.pages_rejected) == (3, 3, 1)
+    (aside,) = spark.read.parquet(rejected_path(table)).collect()
+    assert (aside.file, aside.page_no) == ("page_2.json", 2)
+    land(pages, 4, [raw("a", "Injury"), raw("d", "Injury")])
+    later = ingest_available(spark, str(pages), table, str(tmp_path / "cp"))
+    assert (later.batch_returned, later.new_records_added, later.pages_rejected) == (2, 1, 0)
+
+
+def test_batch_reads_only_its_buckets_of_numbers(spark, tmp_path):
+    table = str(tmp_path / "table")
+    batch = some_reports(spark, {"Death": 200})
+    add_batch(spark, batch, table, 0)
+    store = KeyStore(spark, table)
+    one = batch.limit(1)
+    bucket = one.select(bucket_of(F.col("report_number"))).first()[0]
+    held = store.held(one, 1)
+    assert f"bucket#" in (plan := held._jdf.queryExecution().executedPlan().toString())
+    assert f"= {bucket})" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    files = {r[0] for r in held.select(F.input_file_name()).collect()}
+    assert files and all(f"bucket={bucket}/" in f for f in files)
+    assert store.held(batch, 0).count() == 0  # a batch's own numbers are not among them
+    # The reports themselves are gone, and known numbers are still known.
+    shutil.rmtree(f"{table}/batch_id=0")
+    assert add_batch(spark, batch, table, 1) == (200, 0)
+
+
+def test_table_without_numbers_is_indexed_once(spark, tmp_path):
+    table = str(tmp_path / "table")
+    batch = some_reports(spark, {"Death": 5})
+    save_accumulated(batch, table, -1)
+    store = KeyStore(spark, table)
+    assert store.index_missing() == [-1] and store.index_missing() == []
+    assert add_batch(spark, batch.union(some_reports(spark, {"Injury": 2})), table, 3) == (7, 2)
+
+
+def test_model_type_beside_params_must_agree(spark):
+    with pytest.raises(ValueError, match="differs"):
+        train_job(some_reports(spark, {"Death": 2}), ModelStore("unused"), "svm", params=QUICK)
+
+
 def test_training_job_promotes_then_compares(spark, tmp_path):
     store = ModelStore(str(tmp_path / "store"))
     reports = some_reports(spark, {"Death": 30, "Injury": 20, "Malfunction": 20, "*": 20})

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from incidentia.operators.records import flatten_records, rejected_records, with_narrative
@@ -151,12 +152,19 @@ def test_pages_in_order_and_bounded(spark, tmp_path):
 
 def test_no_results_give_a_typed_empty_table(spark, tmp_path):
     land(tmp_path / "e", {1: []})
-    (tmp_path / "e" / "page_2.json").write_text("not json")
+    (tmp_path / "e" / "page_2.json").write_text('{"error": {"code": "NOT_FOUND"}}')
     empty = fetch_reports(spark, str(tmp_path / "e"))
     assert empty.count() == 0 and empty.columns == REPORT.names
     assert all(t == "string" for _, t in empty.dtypes)
 
 
+def test_page_that_is_no_json_fails(spark, tmp_path):
+    land(tmp_path / "e", {1: [report()]})
+    (tmp_path / "e" / "page_2.json").write_text("not json")
+    with pytest.raises(Exception, match="(?i)json"):
+        fetch_reports(spark, str(tmp_path / "e")).count()
+
+
 def test_label_counts_of_fetched_reports(spark):
     rows = flatten_records(records(spark, [report(event_type=["Death"]), report(event_type=["D"])]))
     assert [tuple(r) for r in rows.groupBy("severity_label").agg(F.count("*")).collect()] == [("D", 2)]

@@ -114,9 +114,12 @@ def test_word_tokens_of_any_text(spark):
 
 
 def test_truncation(spark):
-    out = apply(spark, lambda c: TX.truncate_tokens(c, 2), ["a b c", "a", ""])
+    # Two of the places are for marks.
+    out = apply(spark, lambda c: TX.truncate_tokens(c, 4), ["a b c", "a", ""])
     assert out == [["a", "b"], ["a"], [""]]
-    assert apply(spark, lambda c: TX.is_truncated(c, 2), ["a b c", "a b"]) == [True, False]
+    assert apply(spark, lambda c: TX.is_truncated(c, 4), ["a b c", "a b"]) == [True, False]
+    with pytest.raises(ValueError, match="more than 2"):
+        TX.truncate_tokens(F.lit("a"), 2)
 
 
 def test_strip_knows_unicode_blanks(spark):
