@@ -936,6 +936,85 @@ SELECT type, n_true::BIGINT AS n_true, n_predicted::BIGINT AS n_predicted,
 FROM every, bounds"""
     )
 
+    first = "lower(array_to_string(regexp_extract_all(text, '[\\pL\\pN]+')[1:"
+    q["dictionary_entities"] = "WITH RECURSIVE " + (
+        f"""
+dict AS (
+  SELECT phrase, min(type) AS type, len(string_split(phrase, ' ')) AS n
+  FROM (
+    SELECT {first}({_digit("l", "item_id")} % 3 + 1)], ' ')) AS phrase,
+           (['ADVERSE_EVENT', 'BODY_PART', 'DEVICE'])[{_digit("c", "item_id")} % 3 + 1] AS type
+    FROM benchmark)
+  WHERE phrase <> '' GROUP BY phrase),
+parts AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '([^\\pL\\pN]*)([\\pL\\pN]+)', 1)) AS gap,
+         unnest(regexp_extract_all(text, '([^\\pL\\pN]*)([\\pL\\pN]+)', 2)) AS raw,
+         generate_subscripts(regexp_extract_all(text, '[\\pL\\pN]+'), 1) AS pos
+  FROM documents),
+words AS MATERIALIZED (
+  SELECT doc_id, pos, lower(raw) AS w, length(raw) AS size,
+         sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY pos) AS stop
+  FROM parts),
+looks AS (
+  SELECT doc_id, pos, stop - size AS start, w AS p1, w || ' ' || lead(w) OVER d AS p2,
+         w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d AS p3,
+         [stop, lead(stop) OVER d, lead(stop, 2) OVER d] AS stops
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS MATERIALIZED (
+  SELECT doc_id, pos, arg_max(n, n) AS n, any_value(start) AS start,
+         arg_max(stops[n], n) AS stop, arg_max(type, n) AS type, arg_max(phrase, n) AS phrase
+  FROM (SELECT l.*, d.n, d.type, d.phrase FROM looks l JOIN dict d ON d.n = 1 AND d.phrase = p1
+        UNION ALL SELECT l.*, d.n, d.type, d.phrase FROM looks l JOIN dict d ON d.n = 2 AND d.phrase = p2
+        UNION ALL SELECT l.*, d.n, d.type, d.phrase FROM looks l JOIN dict d ON d.n = 3 AND d.phrase = p3)
+  GROUP BY doc_id, pos),
+nexts AS MATERIALIZED (
+  SELECT a.doc_id, a.pos, b.pos AS after
+  FROM (SELECT doc_id, pos, pos + n AS free FROM hits) a
+  ASOF JOIN (SELECT doc_id, pos FROM hits) b ON a.doc_id = b.doc_id AND a.free <= b.pos),
+chain AS (
+  SELECT doc_id, min(pos) AS pos FROM hits GROUP BY doc_id
+  UNION ALL SELECT c.doc_id, n.after FROM chain c JOIN nexts n ON n.doc_id = c.doc_id AND n.pos = c.pos)
+SELECT doc_id, type, start::INTEGER AS start, stop::INTEGER AS "end", phrase
+FROM chain JOIN hits USING (doc_id, pos)"""
+    ).strip()
+
+    # Exchange
+    resources = INCOMING + """,
+fields AS (
+  SELECT report_number, severity_label, narrative_text,
+         nullif(report_number, '') AS number, nullif(device_name, '') AS device, event_type,
+         CASE WHEN severity_label IN ('D', 'I') THEN 'serious'
+              WHEN severity_label IN ('M', 'O') THEN 'non-serious' END AS category,
+         date_received[1:4] || '-' || date_received[5:6] || '-' || date_received[7:8] AS day
+  FROM incoming),
+resources AS (
+  SELECT report_number, severity_label,
+    '{"resourceType":"AdverseEvent"'
+    || CASE WHEN number IS NULL THEN '' ELSE ',"identifier":{"value":"' || number || '"}' END
+    || ',"status":"completed","actuality":"actual"'
+    || CASE WHEN category IS NULL THEN '' ELSE ',"category":[{"text":"' || category || '"}]' END
+    || ',"event":{"text":"' || event_type || '"},"subject":{"reference":"Patient/anonymous"}'
+    || ',"date":"' || day || '"'
+    || CASE WHEN category IS NULL THEN '' ELSE ',"seriousness":' || (category = 'serious')::VARCHAR END
+    || CASE WHEN device IS NULL THEN '' ELSE ',"suspectEntity":[{"instance":{"display":"' || device || '"}}]' END
+    || ',"extension":[{"url":"severity_score"'
+    || coalesce(',"valueDecimal":' || (length(narrative_text) % 100 / CAST(100 AS DOUBLE))::VARCHAR, '')
+    || '},{"url":"classifier_version","valueString":"v1"}]}' AS resource,
+    concat_ws(',', CASE WHEN number IS NULL THEN 'identifier' END,
+              CASE WHEN category IS NULL THEN 'category' END,
+              CASE WHEN device IS NULL THEN 'suspectEntity' END) AS missing
+  FROM fields)"""
+    q["exchange_resources"] = _with(
+        resources, "SELECT report_number, resource, missing, missing = '' AS complete FROM resources"
+    )
+    q["exchange_pass_rate"] = _with(
+        resources,
+        """SELECT coalesce(severity_label, 'all') AS severity_label, count(*) AS n,
+  count(*) FILTER (WHERE missing = '') AS n_complete,
+  round(avg((missing = '')::DOUBLE), 6) AS pass_rate
+FROM resources GROUP BY ROLLUP (severity_label)""",
+    )
+
     # Features
     q["term_frequency"] = _with(
         GRAMS,

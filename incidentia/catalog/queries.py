@@ -15,6 +15,7 @@ from incidentia.functions import promotion as PR
 from incidentia.functions import text as TX
 from incidentia.functions.arrays import total
 from incidentia.operators import entities as EN
+from incidentia.operators import exchange as EV
 from incidentia.operators import features as FE
 from incidentia.operators import filters as FI
 from incidentia.operators import linear as LI
@@ -732,6 +733,49 @@ def entity_scores(spark, sf):
     )
 
 
+def phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary out of the benchmark's items: the first one, two or three words of each."""
+    words, key = TX.plain_words(F.col("text")), F.col("item_id")
+    kind = (TB.digit("c", key) % 3).cast("int")
+    return TB.read_table(spark, sf, "benchmark").select(
+        F.array_join(F.slice(words, 1, TB.digit("l", key) % 3 + 1), " - ").alias("phrase"),
+        F.get(F.array(*map(F.lit, ENTITY_TYPES)), kind).alias("type"),
+    )
+
+
+@query
+def dictionary_entities(spark, sf):
+    return EN.label_entities(TB.read_texts(spark, sf, "documents"), phrases(spark, sf))
+
+
+# --- Exchange ---------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """Resources of a batch in which numbers, devices and severities are missing here and there."""
+    score = F.round(F.length("narrative_text") % 100 / 100.0, 2)
+    return EV.adverse_events(TB.incoming(spark, sf), score, "v1")
+
+
+@query
+def exchange_resources(spark, sf):
+    events = _events(spark, sf)
+    return events.select(
+        "report_number", "resource", F.array_join("missing", ",").alias("missing"), "complete"
+    )
+
+
+@query
+def exchange_pass_rate(spark, sf):
+    rates = EV.pass_rate(_events(spark, sf))
+    return rates.select(
+        F.coalesce("severity_label", F.lit("all")).alias("severity_label"),
+        "n",
+        "n_complete",
+        rounded("pass_rate").alias("pass_rate"),
+    )
+
+
 # --- Features ---------------------------------------------------------------------------------
 
 

@@ -62,3 +62,37 @@ def softmax(scores: Column) -> Column:
 def argmax(scores: Column) -> Column:
     """Zero-based position of the first maximum."""
     return let(scores, lambda s: F.array_position(s, F.array_max(s)) - 1)
+
+
+def running_totals(values: Column, block: int = 64) -> Column:
+    """Sum of an integer array up to each entry, the entry included.
+
+    Blocks are summed first, so that an entry adds up its own block only; appending the sum of each
+    entry to an array would copy that array each time.
+    """
+
+    def plus(acc: Column, x: Column) -> Column:
+        return acc + x
+
+    def extend(acc: Column, x: Column) -> Column:
+        grown = F.array_append(acc["sums"], acc["sum"])
+        return F.struct((acc["sum"] + x).alias("sum"), grown.alias("sums"))
+
+    def totals(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / block).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(v, b * block + 1, block), F.lit(0), plus)
+        )
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+
+        def spread(before: Column) -> Column:
+            def upto(x: Column, i: Column) -> Column:
+                at = F.floor(i / block).cast("int")
+                own = F.slice(v, at * block + 1, i - at * block + 1)
+                return F.get(before, at) + F.aggregate(own, F.lit(0), plus)
+
+            return F.transform(v, upto)
+
+        return let(F.aggregate(blocks, start, extend, lambda acc: acc["sums"]), spread)
+
+    return F.when(F.size(values) > 0, let(values, totals)).otherwise(F.array().cast("array<int>"))

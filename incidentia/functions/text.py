@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from incidentia.functions.arrays import let
+from incidentia.functions.arrays import let, running_totals
 from incidentia.schema import MAX_TOKENS, MIN_CLEAN_CHARS, NGRAM_RANGE
 
 # --- Fixed values: phrases and short forms, in the order they must be applied ------------------
@@ -216,3 +216,37 @@ def truncate_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
 
 def is_truncated(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     return F.size(F.split(text, " ")) > _places(max_tokens)
+
+
+_WORD_RUN = r"[\p{L}\p{N}]+"
+
+
+def plain_words(text: Column) -> Column:
+    """Runs of letters and digits, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD_RUN), 0), F.lower)
+
+
+def positioned_words(text: Column) -> Column:
+    """``array<struct<word, start, end>>``: ``plain_words`` with their places in the text, end excluded."""
+    pattern = F.lit(rf"([^\p{{L}}\p{{N}}]*)({_WORD_RUN})")
+
+    def placed(gaps: Column, words: Column) -> Column:
+        sizes = F.zip_with(gaps, words, lambda g, w: F.length(g) + F.length(w))
+
+        def join(ends: Column) -> Column:
+            return F.zip_with(
+                words,
+                ends,
+                lambda w, e: F.struct(
+                    F.lower(w).alias("word"), (e - F.length(w)).alias("start"), e.alias("end")
+                ),
+            )
+
+        return let(running_totals(sizes), join)
+
+    return let(
+        F.regexp_extract_all(text, pattern, F.lit(1)),
+        lambda gaps: let(
+            F.regexp_extract_all(text, pattern, F.lit(2)), lambda words: placed(gaps, words)
+        ),
+    )

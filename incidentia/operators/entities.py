@@ -1,12 +1,21 @@
-"""Scores of entity spans: exact matches, and overlaps in proportion with one-to-one matching."""
+"""Entities in texts: labels from a dictionary of phrases, and scores of spans.
+
+Scores count exact matches, and overlaps in proportion with one-to-one matching.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentia.session import Scratch
+from incidentia.functions.arrays import let
+from incidentia.functions.text import plain_words, positioned_words
+from incidentia.session import Scratch, written_table
 
+#: Words of a phrase, at most: as many go with each word of a text to its comparison.
+MAX_PHRASE_WORDS = 32
+#: Phrases that may be sent to every task.
+BROADCAST_PHRASES = 100_000
 #: Characters of a bin that spans are dealt to; a span is copied to each bin it touches.
 BIN_CHARS = 64
 
@@ -15,6 +24,84 @@ _TRUE, _GUESS = ["start", "end"], ["g_start", "g_end"]
 _COUNTS = ("n_true", "n_predicted", "strict_hits", "partial_hits")
 
 
+def phrase_table(dictionary: DataFrame, phrase_col: str = "phrase", type_col: str = "type") -> DataFrame:
+    """(first, n, phrase, type): phrases as lower-case words joined by blanks, by their first word.
+
+    A phrase under several types takes the first by name. Phrases without a word, and rows without a
+    type, drop out; longer ones than ``MAX_PHRASE_WORDS`` are an error.
+    """
+    rows = dictionary.select(plain_words(F.col(phrase_col)).alias("words"), F.col(type_col).alias("type"))
+    bound = F.when(F.size("words") <= MAX_PHRASE_WORDS, F.size("words")).otherwise(
+        F.raise_error(F.lit(f"a phrase has more than {MAX_PHRASE_WORDS} words")).cast("int")
+    )
+    return (
+        rows.filter((F.size("words") > 0) & F.col("type").isNotNull())
+        .groupBy(F.array_join("words", " ").alias("phrase"))
+        .agg(F.min("type").alias("type"), F.first("words").alias("words"))
+        .select(F.get("words", F.lit(0)).alias("first"), bound.alias("n"), "phrase", "type")
+    )
+
+
+def label_entities(
+    docs: DataFrame,
+    dictionary: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    phrase_col: str = "phrase",
+    type_col: str = "type",
+) -> DataFrame:
+    """(doc_id, type, start, end, phrase): places of dictionary phrases in whole texts.
+
+    Words are runs of letters and digits, compared in lower case; what stands between them does not
+    matter. From left to right the longest phrase at a word is taken, and the next one starts after its
+    end; so labels never overlap. Words meet phrases by a join on the first word, and only what
+    follows it is compared. Repeated documents and ids are labelled each on their own.
+    """
+    phrases = phrase_table(dictionary, phrase_col, type_col)
+    with Scratch(docs.sparkSession) as scratch:
+        phrases = scratch.table(phrases, "phrases")
+        longest, size = phrases.agg(F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
+        if size <= BROADCAST_PHRASES:
+            phrases = F.broadcast(phrases)
+
+        def ahead(words: Column) -> Column:
+            def at(w: Column, i: Column) -> Column:
+                return F.struct(
+                    i.alias("pos"),
+                    w["word"].alias("first"),
+                    w["start"].alias("start"),
+                    F.slice(words, i + 1, longest).alias("ahead"),
+                )
+
+            return F.transform(words, at)
+
+        words = let(positioned_words(F.col(text_col)), ahead)
+        # Numbered before the words are laid out: a number in the same projection would count words.
+        rows = docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("w")
+        ).select("row", "doc_id", F.inline("w"))
+        said = F.array_join(F.slice(F.col("ahead.word"), 1, F.col("n")), " ")
+        found = rows.join(phrases, "first").filter(said == F.col("phrase"))
+        match = F.struct(
+            "pos", (-F.col("n")).alias("less"), "n", "start",
+            F.get("ahead", F.col("n") - 1)["end"].alias("end"), "type", "phrase",
+        )
+        each = found.groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(match)).alias("matches")
+        )
+        kind = each.select(F.get("matches", F.lit(0)).alias("m")).schema["m"].dataType.simpleString()
+        start = F.struct(F.lit(0).alias("free"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def take(acc: Column, m: Column) -> Column:
+            return F.when(
+                m["pos"] >= acc["free"],
+                F.struct((m["pos"] + m["n"]).alias("free"), F.array_append(acc["out"], m).alias("out")),
+            ).otherwise(acc)
+
+        taken = each.select("doc_id", F.inline(F.aggregate("matches", start, take, lambda a: a["out"])))
+        return written_table(taken.select("doc_id", "type", "start", "end", "phrase"), "entities")
+
+
 def counted_spans(spans: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """(doc, type, start, end, n): spans with how often each occurs; empty and broken ones go."""
     return (

@@ -1,16 +1,21 @@
 """Entities, several labels, reliability and the promotion history against plain versions."""
 
+import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from incidentia.functions.arrays import running_totals
 from incidentia.operators import entities as EN
+from incidentia.operators import exchange as EV
 from incidentia.operators import multilabel as ML
 from incidentia.operators import reliability as RL
 from incidentia.operators import runs as RU
 from incidentia.operators.ordered import in_blocks, running
+from incidentia.schema import REPORT
 from incidentia.session import Scratch
 
 SPANS = "doc_id long, type string, start int, end int"
@@ -216,3 +221,71 @@ def test_promotion_history(spark, case, monkeypatch):
     df = spark.createDataFrame(log, "run_no long, cv_f1 double, training_records long").repartition(5)
     found = sorted(tuple(r) for r in RU.promotion_history(df).collect())
     assert found == plain_history(log)
+
+
+# --- Dictionary labels and resources ----------------------------------------------------------
+
+
+def plain_labels(text, phrases):
+    words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    out, at = [], 0
+    while at < len(words):
+        for n in range(4, 0, -1):
+            said = " ".join(w for w, _, _ in words[at : at + n])
+            if len(words) - at >= n and said in phrases:
+                out.append((phrases[said], words[at][1], words[at + n - 1][2], said))
+                at += n - 1
+                break
+        at += 1
+    return out
+
+
+def test_dictionary_labels(spark):
+    dictionary = [
+        ("Heart  Valve", "DEVICE"), ("heart", "BODY_PART"), ("valve leak", "ADVERSE_EVENT"),
+        ("a b a b", "X"), ("a b", "Y"), ("heart", "ADVERSE_EVENT"), ("--", "X"), (None, "X"), ("b", None),
+    ]
+    phrases = {"heart valve": "DEVICE", "heart": "ADVERSE_EVENT", "valve leak": "ADVERSE_EVENT", "a b a b": "X", "a b": "Y"}
+    texts = [
+        "Heart valve leak; the HEART-VALVE, heart.", "a b a b a b, a b a", "", None, "…", "heart",
+        "é heart é valve leak " * 120, "heart",
+    ]
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = EN.label_entities(docs, spark.createDataFrame(dictionary, "phrase string, type string"))
+    expected = [(i % 7, *label) for i, t in enumerate(texts) for label in plain_labels(t or "", phrases)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    nothing = spark.createDataFrame([], "phrase string, type string")
+    assert EN.label_entities(docs, nothing).count() == 0
+
+
+def test_long_phrase_is_an_error(spark):
+    long = spark.createDataFrame([("w " * 40, "X")], "phrase string, type string")
+    docs = spark.createDataFrame([(1, "w w")], "doc_id int, text string")
+    with pytest.raises(Exception, match="more than 32 words"):
+        EN.label_entities(docs, long)
+
+
+def test_running_totals(spark):
+    values = [[], [5], list(range(200)), None]
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    found = [r[0] for r in df.select(running_totals(F.col("v"))).collect()]
+    assert found == [[], [5], [sum(range(k + 1)) for k in range(200)], []]
+
+
+def test_resources(spark):
+    rows = [
+        ("1", "20240105", "Death", "D", "pump", "text"),
+        ("", "20241341", "", "UNKNOWN", " ", "text"),
+        (None, "2024-01-05", None, "M", 'a "b"', None),
+    ]
+    made = EV.adverse_events(spark.createDataFrame(rows, REPORT)).collect()
+    first, second, third = (json.loads(r.resource) for r in made)
+    assert first["category"] == [{"text": "serious"}] and first["date"] == "2024-01-05"
+    assert first["identifier"] == {"value": "1"} and first["seriousness"] is True
+    assert (made[0].missing, made[0].complete) == ([], True)
+    assert made[1].missing == ["identifier", "category", "event", "date", "suspectEntity"]
+    assert set(second) == {"resourceType", "status", "actuality", "subject"}
+    assert made[2].missing == ["identifier", "event", "date"] and third["seriousness"] is False
+    assert third["suspectEntity"][0]["instance"]["display"] == 'a "b"'
+    rates = {r.severity_label: (r.n, r.n_complete) for r in EV.pass_rate(EV.adverse_events(spark.createDataFrame(rows, REPORT))).collect()}
+    assert rates == {"D": (1, 1), "UNKNOWN": (1, 0), "M": (1, 0), None: (3, 1)}
