@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,32 @@ from incidentia.session import shared_dir
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 250
+
+_SLOT: dict = {}
+
+
+def in_slot(key: tuple, make: Callable):
+    """What this worker process keeps from task to task for the operator at work.
+
+    Workers outlive their tasks and serve one operator after another. There is one place, and what
+    the next operator keeps takes it over.
+    """
+    if key not in _SLOT:
+        _SLOT.clear()
+        gc.collect()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows; an empty batch stays one."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 class Work:
     """A folder in the shared folder for one run's written tables.
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentia.llm.common import id_type
+from incidentia.llm.common import id_type, in_slot, slices
 
 #: Words of a window.
 WINDOW = 10
@@ -75,10 +74,9 @@ class Automaton:
         return [(int(a), int(b)) for a, b in turns], items
 
 
-@lru_cache(maxsize=1)
 def _automaton(held, window: int) -> Automaton:
     """The worker process's automaton; ``held`` is the items' broadcast."""
-    return Automaton(held.value, window)
+    return in_slot(("automaton", held, window), lambda: Automaton(held.value, window))
 
 
 def find_benchmark(
@@ -138,7 +136,7 @@ def drop_contaminated(
     def clean(held):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(held, window)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(place).to_pylist()
                 good = [not automaton.scan(words_of(t))[0] for t in texts]
                 yield batch.filter(pa.array(good, pa.bool_()))

@@ -9,7 +9,6 @@ far its rank is from the profile's, or the profile's length if it is absent ther
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentia.llm.common import id_type
+from incidentia.llm.common import id_type, in_slot, slices
 
 #: N-grams of a profile.
 PROFILE = 300
@@ -33,19 +32,22 @@ BOUND_FROM, BOUND_SHARE = 100, 0.5
 _EDGE = 1
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """Per code point: itself for a letter, else the boundary."""
-    table = np.full(0x110000, _EDGE, dtype=np.int64)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
-    table[points] = points
-    return table
+def _is_letter() -> np.ndarray:
+    """Whether each code point is a letter."""
+
+    def make() -> np.ndarray:
+        table = np.zeros(0x110000, dtype=bool)
+        table[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = True
+        return table
+
+    return in_slot(("letters",), make)
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """The codes of all n-grams of a text, 21 bits a character; none without a letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
-    codes = np.concatenate(([_EDGE], _letters()[points], [_EDGE]))
+    letters = np.where(_is_letter()[points], points, _EDGE).astype(np.int64)
+    codes = np.concatenate(([_EDGE], letters, [_EDGE]))
     inside = codes != _EDGE
     if not inside.any():
         return np.empty(0, dtype=np.int64)
@@ -136,7 +138,7 @@ def learn_profiles(
     rows = _sample(labelled, id_col, text_col, lang_col, learn_from)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             by_language: dict[str, list[np.ndarray]] = {}
             for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_language.setdefault(language, []).append(ngrams(text))
@@ -181,7 +183,7 @@ def learn_bounds(
     held = labelled.sparkSession.sparkContext.broadcast(Profiles(rows, size))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(0).to_pylist():
                 words = text.split()
@@ -230,7 +232,7 @@ def identify_language(
     )
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [held.value.classify(t) for t in batch.column(1).to_pylist()]
             names, scores = zip(*found) if found else ((), ())
             columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
@@ -269,7 +271,7 @@ def keep_identified(
         return near and (languages is None or name in languages)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [good(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(found, pa.bool_()))
 

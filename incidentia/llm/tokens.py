@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
+
+from incidentia.llm.common import in_slot
 
 # White space that only some definitions count as such: a text with one is encoded as a whole.
 _RARE = re.compile(
@@ -24,8 +25,8 @@ _SPACED = re.compile(
 )
 _UNSPACED = re.compile(f"{_LATIN}|[^ \\n\\t\\r]++")
 
-#: Stretches a worker process remembers (about 200 bytes each); later ones are encoded anew.
-CACHE_ENTRIES = 700_000
+#: Stretches a worker process remembers (about 150 bytes each); later ones are encoded anew.
+CACHE_ENTRIES = 600_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,7 +64,7 @@ class StretchEncoder:
         """The ids of each text; ``None`` counts as empty."""
         parts = [None if t and _RARE.search(t) else self._stretches(t or "") for t in texts]
         known = self._known
-        new = [p for p in set().union(*(x for x in parts if x)) if p not in known]
+        new = list(set().union(*(x for x in parts if x)).difference(known))
         if new:
             fresh = dict(zip(new, self.whole(new)))
             if len(known) + len(fresh) <= self._limit:
@@ -88,7 +89,6 @@ class _Either:
         return self._second[key] if found is None else found
 
 
-@lru_cache(maxsize=2)
 def encoder(vocabulary: str, as_text: bool = False) -> StretchEncoder:
     """The worker process's encoder for a vocabulary, made at first use."""
-    return StretchEncoder(vocabulary, as_text)
+    return in_slot(("encoder", vocabulary, as_text), lambda: StretchEncoder(vocabulary, as_text))
