@@ -11,7 +11,7 @@ pair of a bucket is thus compared or already in one class.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,19 +27,23 @@ def link_buckets(
     items: DataFrame,
     alike: Callable[[Column, Column], Column],
     work: Work,
+    early: Sequence[DataFrame] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the classes (node, label) of linked nodes; label: the least node.
 
     ``buckets`` holds distinct (bucket, node) with long values, ``items`` an (node, item) for each
-    node, and ``alike`` tells from two items whether they are linked.
+    node, and ``alike`` tells from two items whether they are linked. ``early`` are parts of
+    ``buckets`` that get one round each beforehand; where nodes share many buckets, the classes found
+    there spare most comparisons in the others.
     """
     left = buckets.select("bucket", "node")
     links = labels = None
-    before = float("inf")
+    before, waiting = float("inf"), list(early)
     while True:
-        named = left.withColumn("label", F.col("node"))
+        at_work = waiting[0].select("bucket", "node") if waiting else left
+        named = at_work.withColumn("label", F.col("node"))
         if labels is not None:
-            named = left.join(labels, "node", "left").select(
+            named = at_work.join(labels, "node", "left").select(
                 "bucket", "node", F.coalesce("label", "node").alias("label")
             )
         cells = named.groupBy("bucket", "label").agg(
@@ -53,10 +57,13 @@ def link_buckets(
         )
         state, seen = work.counted(state.filter("pairs > 0"), "mixed", pairs=F.sum("pairs"))
         if not seen["rows"]:
+            if waiting:
+                waiting.pop(0)
+                continue
             break
         state = small(state.select("bucket", "n", "centre"), seen["rows"])
         mixed = named.join(state, "bucket")
-        last = seen["pairs"] > before / 2
+        last = not waiting and seen["pairs"] > before / 2
         if last:
             found = _in_blocks(mixed, items, alike)
         else:
@@ -73,8 +80,11 @@ def link_buckets(
         labels, count = components(links, work)
         if last:
             break
-        before = seen["pairs"]
-        left = work.table(mixed.filter("node != centre.node").select("bucket", "node"), "left")
+        if waiting:
+            waiting.pop(0)
+        else:
+            before = seen["pairs"]
+            left = work.table(mixed.filter("node != centre.node").select("bucket", "node"), "left")
         labels = small(labels, count)
     if links is None:
         nothing = buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)

@@ -12,7 +12,6 @@ them; for other texts both are the same.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentia.llm.common import Work, first_by, fresh, id_type, small
+from incidentia.llm.common import Work, first_by, fresh, id_type, in_slot, slices, small
 from incidentia.llm.decontamination import words_of
 from incidentia.llm.linking import link_buckets
 
@@ -30,6 +29,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8, all bands of weight one miss a pair with probability (1 - 0.8^4)^20 = 3e-5.
 BANDS, ROWS = 20, 4
+#: Bands that are linked before all others, a round each.
+EARLY_BANDS = ([0], [1], [2, 3])
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,9 +52,8 @@ class _WordHashes(dict):
         return found
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> _WordHashes:
-    return _WordHashes()
+    return in_slot(("word hashes",), _WordHashes)
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def band_keys(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def search_keys(items: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Distinct band keys of a text: by weights from its counts, and at weight one.
+    """Band keys of a text: those at weight one, then those by weights from its counts, if they differ.
 
     Two texts agree in a register at weight one with the probability that is verified, however
     often either repeats a shingle.
@@ -125,7 +125,7 @@ def search_keys(items: np.ndarray, counts: np.ndarray, bands: int, rows: int) ->
     if counts.max() == 1:
         return plain
     names = signature(items, 1 + np.log(counts), bands * rows)
-    return np.unique(np.concatenate((plain, band_keys(names, bands, rows))))
+    return np.concatenate((plain, band_keys(names, bands, rows)))
 
 
 def near_duplicates(
@@ -163,7 +163,7 @@ def near_duplicates(
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes, keys = [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
@@ -179,12 +179,12 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     signed = work.table(source.mapInArrow(sign, schema), "signed")
-    keyed = signed.select("node", F.explode("keys").alias("bucket"))
+    keyed = signed.select("node", F.posexplode("keys").alias("band", "bucket"))
     # Partial results shrink the copies of a text before the shuffle.
     live = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     live, seen = work.counted(live.filter("lo < hi").select("bucket"), "live")
-    members = keyed.join(small(live, seen["rows"]), "bucket").distinct()
-    members, seen = work.counted(members, "members")
+    members = keyed.join(small(live, seen["rows"]), "bucket").groupBy("bucket", "node")
+    members, seen = work.counted(members.agg(F.min("band").alias("band")), "members")
     sets = work.table(_shingle_sets(source, signed, members, seen["rows"], size), "sets")
 
     def alike(x: Column, y: Column) -> Column:
@@ -193,7 +193,10 @@ def near_duplicates(
         every = F.size(x) + F.size(y) - common
         return (least >= similarity * most) & (common >= similarity * every - 1e-9)
 
-    _, classes = link_buckets(members, sets, alike, work)
+    # Copies of one text share most bands: a few bands by themselves find their class, and the others
+    # then have few texts left to compare.
+    early = [members.filter(F.col("band").isin(some)) for some in EARLY_BANDS]
+    _, classes = link_buckets(members, sets, alike, work, early)
     classes, seen = work.counted(classes, "classes")
     work.drop(sets, members, live)
     return _classified(signed, small(classes, seen["rows"]))
@@ -209,7 +212,7 @@ def _shingle_sets(source, signed, members: DataFrame, most: int, size: int) -> D
     chosen = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(words_of(t), size)[0].view(np.int64) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "item"])
