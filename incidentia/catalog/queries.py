@@ -34,8 +34,8 @@ from incidentia.schema import LABELS, REPORT
 from incidentia.session import shared_dir, written_table
 from incidentia.sources import tables as TB
 from incidentia.sources.pages import explode_pages, first_reports
-from incidentia.sources.reports import load_accumulated, save_accumulated
-from incidentia.streaming.ingest import ingest_available
+from incidentia.sources.reports import load_accumulated, path_exists, save_accumulated
+from incidentia.streaming.ingest import ingest_available, rejected_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -442,7 +442,9 @@ def ingest_broken_pages(spark, sf):
     summary = ingest_available(
         spark, f"{root}/pages", f"{root}/table", f"{root}/checkpoint", page_per_line=True
     )
-    aside = spark.read.parquet(f"{root}/table_rejected").agg(F.count("*").alias("pages_aside"))
+    where = rejected_path(f"{root}/table")
+    aside = spark.read.parquet(where) if path_exists(spark, where) else spark.range(0)
+    aside = aside.agg(F.count("*").alias("pages_aside"))
     counts = summary.as_dict()
     names = ["batch_returned", "new_records_added", "total_accumulated", "pages_rejected"]
     return aside.select("pages_aside", *(F.lit(counts[n]).cast("long").alias(n) for n in names))
