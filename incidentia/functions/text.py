@@ -39,8 +39,8 @@ ABBREVIATIONS = {
     "h/o": "history of",
     "c/o": "complaint of",
     "n/v": "nausea vomiting",
-    "sob": "shortness of breath",
-    "unk": "unknown",
+    "SOB": "shortness of breath",
+    "UNK": "unknown",
 }
 
 WHITESPACE = (
