@@ -30,7 +30,7 @@ from incidentia.operators import runs as RU
 from incidentia.operators import splits as SP
 from incidentia.plans import explore as EX
 from incidentia.plans.train import ModelStore, train_job
-from incidentia.schema import LABELS, REPORT
+from incidentia.schema import LABELS, MIN_DF, REPORT
 from incidentia.session import shared_dir, written_table
 from incidentia.sources import tables as TB
 from incidentia.sources.pages import explode_pages, first_reports
@@ -790,8 +790,10 @@ def _n_docs(spark: SparkSession, sf: str) -> Column:
 
 
 def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    stats = FE.term_stats(FE.term_frequency(text_rows(spark, sf)))
-    return FE.vocabulary(stats, _n_docs(spark, sf))
+    """Texts are cleaned once and terms counted once; both tables are read twice."""
+    rows = written_table(text_rows(spark, sf), "texts")
+    stats = FE.term_stats(FE.term_frequency(rows)).filter(F.col("df") >= MIN_DF)
+    return FE.vocabulary(written_table(stats, "terms"), FE.document_count(rows).scalar())
 
 
 @query
@@ -1071,7 +1073,7 @@ def fit_svm(spark, sf):
 
 
 #: Share of its first length that the gradient of a finished fit may have.
-GRADIENT_SHARE = {"svm": 1e-3, "logreg": 5e-2}
+GRADIENT_SHARE = {"svm": 1e-3, "logreg": 1e-2}
 
 
 def _optimality(spark: SparkSession, sf: str, model_type: str) -> DataFrame:

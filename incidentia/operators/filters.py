@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from incidentia.functions.text import clean_text, long_enough
 from incidentia.schema import MIN_CLEAN_CHARS, MIN_TRAINING_ROWS, UNKNOWN
 
+_SEARCHED = "__searched"
+
 
 def clean_table(
     df: DataFrame,
@@ -51,8 +53,13 @@ def matches(text: Column, term: str, literal: bool = False) -> Column:
 
 
 def search(df: DataFrame, term: str, literal: bool = False) -> DataFrame:
-    """Rows whose cleaned narrative (raw, where there is none) matches ``term``."""
-    return df.filter(matches(F.col(_text_col(df)), term, literal))
+    """Rows whose cleaned narrative (raw, where there is none) matches ``term``.
+
+    The text goes through a generator of one row: a filter is not moved below it, which would clean
+    every text a second time where the cleaned column is a projection.
+    """
+    once = F.inline(F.array(F.struct(F.col(_text_col(df)).alias(_SEARCHED))))
+    return df.select("*", once).filter(matches(F.col(_SEARCHED), term, literal)).drop(_SEARCHED)
 
 
 def display_columns(df: DataFrame) -> DataFrame:

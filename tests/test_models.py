@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentia.operators import features as FE
 from incidentia.operators import linear as LI
+from incidentia.operators import logistic as LR
 from incidentia.operators import metrics as M
 from incidentia.operators import models as MO
 
@@ -191,3 +192,51 @@ def test_predict_batches(spark):
     out = LI.predict_from_logits(MO.predict_batches(df, load_constant, "t"), "logits", ["x", "y"])
     assert [r["predicted_label"] for r in out.orderBy("id").collect()] == ["x", "y"]
     assert df.columns == ["id", "t"]
+
+
+def _sparse_rows(rng, n, width, classes):
+    sizes = rng.integers(0, 5, n)
+    indices = np.concatenate([rng.choice(width, k, replace=False) for k in sizes])
+    return indices.astype(int), rng.normal(size=sizes.sum()), sizes, rng.integers(0, classes, n)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_logistic_gradient_against_differences(classes):
+    rng = np.random.default_rng(classes)
+    indices, values, sizes, y = _sparse_rows(rng, 30, 6, classes)
+    cost = rng.uniform(0.5, 2.0, classes)
+    w = rng.normal(size=(7, 1 if classes == 2 else classes))
+    losses, gradient = LR.row_losses(indices, values, sizes, y, w, cost)
+    dense = np.zeros((30, 7))
+    dense[np.repeat(np.arange(30), sizes), indices] = values
+    dense[:, -1] = 1.0
+
+    def loss(w):
+        f = dense @ w
+        f = np.column_stack((np.zeros(30), f)) if classes == 2 else f
+        return sum(cost[c] * (np.log(np.exp(row).sum()) - row[c]) for row, c in zip(f, y))
+
+    assert losses.sum() == pytest.approx(loss(w))
+    for at in np.ndindex(*w.shape):
+        step = np.zeros_like(w)
+        step[at] = 1e-5
+        slope = (loss(w + step) - loss(w - step)) / 2e-5
+        assert gradient[at] == pytest.approx(slope, abs=1e-6)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_logistic_fit_ends_at_a_minimum(spark, classes):
+    rng = np.random.default_rng(7)
+    indices, values, sizes, y = _sparse_rows(rng, 60, 6, classes)
+    ends = np.cumsum(sizes)
+    table = [
+        (int(c), indices[e - k : e].tolist(), values[e - k : e].tolist()) for c, e, k in zip(y, ends, sizes)
+    ]
+    df = spark.createDataFrame(table, "class int, indices array<int>, values array<double>")
+    cost = [1.0, 2.0, 0.5][:classes]
+    w, b = LR.fit_logistic(df, 6, cost, 2.0, 500, 1e-6)
+    assert w.shape == (1 if classes == 2 else classes, 6)
+    _, gradient = LR.row_losses(indices, values, sizes, y, np.vstack((w.T, b)), np.array(cost))
+    gradient *= 2.0
+    gradient[:-1] += w.T
+    assert np.abs(gradient).max() < 1e-3

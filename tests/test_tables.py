@@ -122,6 +122,18 @@ def test_search_is_a_caseless_regular_expression(spark):
     assert found("A+B", literal=True) == ["2"]
 
 
+def test_search_does_not_clean_twice(spark):
+    df = frame(spark, [("1", "Burned hand of the patient")], "report_number string, narrative_text string")
+    cleaned = FI.clean_table(df)
+    found = FI.search(cleaned, "burned")
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in cleaned.collect()]
+
+    def calls(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+
+    assert calls(found) == calls(cleaned)
+
+
 def test_search_prefers_cleaned_text(spark):
     df = spark.createDataFrame(EXPLORE, REPORT).withColumn("clean_text", F.lit("nothing"))
     assert FI.search(df, "burn").count() == 0
