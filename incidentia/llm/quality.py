@@ -191,8 +191,12 @@ def learn_decision_list(
     and of the good rows. Rules grow on two thirds of the rows, by information gain, and are pruned on the rest, by
     a hash of ``key``; a rule must cover ``min_bad`` bad rows there with at least
     ``min_precision`` of what it covers bad. Each step gathers counts per feature and bin, whatever
-    the number of rows. No rows, or none that is bad, give an empty list.
+    the number of rows. Covering ends after ``max_rules`` rules of at most ``max_conditions`` each. No
+    rows, or none that is bad, give an empty list. A feature may not be called ``bad``, ``good``
+    or ``grow``.
     """
+    if {"bad", "grow", "good"} & {f.lower() for f in features}:
+        raise ValueError("a feature may not be called bad, good or grow")
     known = labelled.select(
         *features,
         bad.alias("bad"),

@@ -32,7 +32,7 @@ def write_flat_tokens(
 
     Spark's text writer puts the bytes of a row and then the line separator, which is here the
     two bytes of the separating id: its commit makes each file appear whole or not at all. Null and
-    empty texts leave a separator alone.
+    empty texts leave a separator alone. An id that does not fit 16 bits is an error.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +40,7 @@ def write_flat_tokens(
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 found = tokens.encode(batch.column(0).slice(at, 250).to_pylist())
-                shifted = [(np.frombuffer(x, "<u4") + 1).astype("<u2").tobytes() for x in found]
+                shifted = [flat_ids(np.frombuffer(x, "<u4")) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(shifted, pa.binary())], ["ids"])
 
     (
@@ -52,6 +52,13 @@ def write_flat_tokens(
     )
 
 
+def flat_ids(ids: np.ndarray) -> bytes:
+    """Ids plus one in 16 bits."""
+    if ids.size and ids.max() >= 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit a flat file of 16-bit ids")
+    return (ids + 1).astype("<u2").tobytes()
+
+
 def scan_separators(
     spark: SparkSession, path: str, work: Work, separator: int = SEPARATOR, block: int = BLOCK
 ) -> DataFrame:

@@ -1,6 +1,5 @@
 """Decontamination, near copies and alike lines against brute force."""
 
-import hashlib
 import re
 from itertools import combinations
 
@@ -341,7 +340,3 @@ def test_lines_of_odd_rows(odd, none, work):
     assert ids == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12] or ids == [0, 1, 2, 4, 5, 6, 7, 8, 9, 11, 12]
     assert line_dedup.alike_lines(none, work).collect() == []
     assert line_dedup.drop_repeated_lines(none, work).collect() == []
-
-
-def test_items_digest_of_none():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
