@@ -8,7 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentia.functions.rounding import round_score
-from incidentia.schema import LABELS
+from incidentia.schema import LABELS, MAX_CLASSES
+
+
+def _class_rows(rows: DataFrame, most: int = MAX_CLASSES) -> DataFrame:
+    """``rows``, one per class, as they are; an error in place of more than ``most`` of them.
+
+    Reads one row beyond the bound at most, so what is gathered from the result stays bounded.
+    """
+    few = rows.limit(most + 1)
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    error = F.raise_error(F.lit(f"more than {most} classes")).cast("boolean")
+    return few.withColumn("__few", F.when(n > most, error).otherwise(True)).filter("__few").drop("__few")
+
+
+def _labels_seen(counts: DataFrame) -> Column:
+    """The labels of a table of counts as one sorted array, within the class bound."""
+    return _class_rows(counts.select("label").distinct()).agg(F.array_sort(F.collect_set("label"))).scalar()
 
 
 def label_distribution(df: DataFrame, label_col: str = "severity_label") -> DataFrame:
@@ -25,7 +41,7 @@ def class_count_metrics(df: DataFrame, label_col: str = "severity_label") -> Dat
     """One row: map ``class_count_<label>`` → rows of that class."""
     entry = F.struct(F.concat(F.lit("class_count_"), F.col(label_col)), F.col("n").cast("double"))
     counts = df.filter(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count("*").alias("n"))
-    return counts.agg(
+    return _class_rows(counts).agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("class_counts")
     )
 
@@ -167,6 +183,8 @@ def report_text(report: DataFrame) -> DataFrame:
         "class", *[round_score(F.col(c)) for c in ("precision", "recall", "f1")], "support",
     )
     order = F.when(F.col("class").isin("accuracy", "macro avg", "weighted avg"), 1).otherwise(0)
+    # Labels and predictions have at most MAX_CLASSES values each, besides the three summary rows.
+    report = _class_rows(report, 2 * MAX_CLASSES + 3)
     lines = report.select(F.struct(order, F.col("class"), line.alias("line")).alias("entry"))
     ordered = F.array_sort(F.collect_list("entry"))
     return lines.agg(F.array_join(ordered["line"], "\n").alias("classification_report"))
@@ -175,7 +193,7 @@ def report_text(report: DataFrame) -> DataFrame:
 def confusion_matrix(counts: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
     """Dense matrix ``(label, prediction, n)`` over ``classes`` (default: the labels seen)."""
     if classes is None:
-        seen = counts.agg(F.array_sort(F.collect_set("label"))).scalar()
+        seen = _labels_seen(counts)
     else:
         seen = F.array(*[F.lit(c) for c in classes])
     cells = (
@@ -266,5 +284,5 @@ def evaluate(predictions: DataFrame, label_col: str = "label", prediction_col: s
         .agg(F.array_sort(F.collect_list(cell)).alias("m"))
         .scalar()
         .alias("confusion_matrix"),
-        counts.agg(F.array_sort(F.collect_set("label"))).scalar().alias("classes"),
+        _labels_seen(counts).alias("classes"),
     )

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from incidentia.functions import parse
 from incidentia.functions.labels import severity_of
 
+_READ = "__read"
+_REJECTED = "__rejected"
+
 
 def record_columns(record: Column, full_event_name: bool = False) -> list[Column]:
     event = parse.event_type(record, full_event_name)
@@ -29,11 +32,17 @@ def flatten_records(
     keep: Sequence[str] = (),
     full_event_name: bool = False,
 ) -> DataFrame:
-    """Flat reports of a VARIANT column; malformed reports and those without text drop out."""
+    """Flat reports of a VARIANT column; malformed reports and those without text drop out.
+
+    Columns and verdict are made in one projection, where they share what they extract. A generator
+    of one row keeps the filter above it, so that no report is read twice.
+    """
     value = F.col(record)
-    return records.filter(parse.reject_reason(value).isNull()).select(
-        *keep, *record_columns(value, full_event_name)
+    read = F.struct(
+        *record_columns(value, full_event_name), parse.reject_reason(value).alias(_REJECTED)
     )
+    once = records.select(*keep, read.alias(_READ)).select(*keep, F.inline(F.array(_READ)))
+    return once.filter(F.col(_REJECTED).isNull()).drop(_REJECTED)
 
 
 def rejected_records(records: DataFrame, record: str = "record") -> DataFrame:

@@ -22,7 +22,8 @@ def run_ingestion(
 ) -> dict:
     """Ingest and, given new records or no model yet, run the training job on everything held."""
     summary = ingest_available(spark, pages_path, accumulated_path, checkpoint_path)
-    missing = not path_exists(spark, store.model)
+    model = store.champion_path(spark)
+    missing = model is None or not path_exists(spark, model)
     result = None
     if retrain and (summary.new_records_added > 0 or missing):
         reports = load_accumulated(spark, accumulated_path).select(*REPORT.names)

@@ -15,11 +15,20 @@ from incidentia.sources.reports import path_exists
 
 def champion_table(spark: SparkSession, path: str) -> DataFrame:
     """The champion's record: one row, or none before the first promotion."""
-    if path_exists(spark, path):
-        return spark.read.schema(CHAMPION).json(path)
+    versions = _versions(spark, path)
+    if versions:
+        return spark.read.schema(CHAMPION).json(f"{path}/{versions[-1]}")
     return spark.createDataFrame([], CHAMPION)
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the completely written records under ``path``, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "version=*/_SUCCESS"))
+    return sorted(status.getPath().getParent().getName() for status in done or [])
+
+
 def champion_metrics(spark: SparkSession, path: str) -> dict:
     row = champion_table(spark, path).first()
     return row.asDict() if row else {}
@@ -33,13 +42,18 @@ def champion_f1(spark: SparkSession, path: str) -> float:
 
 
 def save_champion(spark: SparkSession, metrics: dict, path: str) -> None:
-    """Replace the champion's record. ``val_f1_weighted`` stands in for ``f1_weighted``."""
+    """Replace the champion's record. ``val_f1_weighted`` stands in for ``f1_weighted``.
+
+    The new record is a version of its own, and readers take the latest that is complete: a job lost
+    on the way leaves the champion as it was.
+    """
     row = {name: metrics.get(name) for name in CHAMPION.names}
     if row["f1_weighted"] is None:
         row["f1_weighted"] = metrics.get("val_f1_weighted")
     row["model_type"] = row["model_type"] or "tfidf"
     table = spark.createDataFrame([tuple(row[name] for name in CHAMPION.names)], CHAMPION)
-    table.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    version = f"{path}/version={time.time_ns():020d}"
+    table.coalesce(1).write.option("ignoreNullFields", "false").json(version)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

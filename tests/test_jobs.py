@@ -131,13 +131,19 @@ def test_training_job_promotes_then_compares(spark, tmp_path):
     assert row["metrics"]["class_count_D"] == 30 and "cv_f1_fold_2" in row["metrics"]
     assert "weighted avg" in row["texts"]["classification_report.txt"]
 
-    model = MO.TextModel.load(spark, store.model)
+    assert champion["checkpoint_path"] == store.model(result["run_id"])
+    model = store.champion_model(spark)
     scored = score_reports(reports.limit(3).unionByName(reports.limit(1).withColumn("narrative_text", F.lit(" "))), model)
     assert scored.count() == 3
 
     registry.save_champion(spark, {**champion, "cv_f1_mean": 2.0, "training_records": 20_000}, store.champion)
     second = train_job(reports, store, remove_unknown=True, n_splits=2, params=QUICK)
     assert second["promoted"] and "below_min_records_threshold" in second["promotion_reason"]
+    assert store.champion_path(spark) == store.model(second["run_id"])
+    # The first model is untouched, and a record whose writing broke off changes nothing.
+    assert MO.TextModel.load(spark, store.model(result["run_id"])).labels == model.labels
+    (tmp_path / "store" / "champion" / "version=99999999999999999999").mkdir()
+    assert store.champion_path(spark) == store.model(second["run_id"])
 
 
 def test_too_few_reports_abort(spark, tmp_path):
@@ -145,6 +151,8 @@ def test_too_few_reports_abort(spark, tmp_path):
     with pytest.raises(ValueError, match="not enough records"):
         train_job(some_reports(spark, {"Death": 20, "Injury": 20}), store)
     assert registry.champion_metrics(spark, store.champion) == {}
+    with pytest.raises(FileNotFoundError):
+        store.champion_model(spark)
     assert registry.read_runs(spark, store.runs).count() == 1
 
 

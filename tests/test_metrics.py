@@ -115,3 +115,14 @@ def test_term_counts(spark):
 def test_best_epoch_is_the_first_maximum(spark):
     df = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.7), ("m", 3, 0.7)], "model_id string, epoch int, f1 double")
     assert tuple(RU.best_epoch(df).first()) == ("m", 2, 0.7)
+
+
+def test_classes_beyond_the_bound_are_an_error(spark):
+    label = F.col("id").cast("string").alias("label")
+    many = spark.range(M.MAX_CLASSES + 1).select(label, F.lit("0").alias("prediction"))
+    counts = M.confusion_counts(many)
+    for refused in (M.confusion_matrix(counts), M.class_count_metrics(many, "label"), M.evaluate(many)):
+        with pytest.raises(Exception, match="more than 1000 classes"):
+            refused.collect()
+    most = M.class_count_metrics(many.limit(M.MAX_CLASSES), "label").first()["class_counts"]
+    assert len(most) == M.MAX_CLASSES

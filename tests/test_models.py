@@ -194,6 +194,18 @@ def test_predict_batches(spark):
     assert df.columns == ["id", "t"]
 
 
+def test_predict_batches_sends_its_input_alone(spark):
+    def load_length():
+        return lambda values: [[float(len(v))] for v in values]
+
+    df = spark.createDataFrame([(1, "abc", "long text"), (2, "", "other")], "id int, t string, rest string")
+    scored = MO.predict_batches(df, load_length, "t").filter("logits[0] > 0")
+    assert [(r["id"], r["rest"], r["logits"]) for r in scored.collect()] == [(1, "long text", [3.0])]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(t#") == 1
+    assert MO.predict_batches(df.limit(0), load_length, "t").count() == 0
+
+
 def _sparse_rows(rng, n, width, classes):
     sizes = rng.integers(0, 5, n)
     indices = np.concatenate([rng.choice(width, k, replace=False) for k in sizes])
