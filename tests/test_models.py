@@ -252,3 +252,49 @@ def test_logistic_fit_ends_at_a_minimum(spark, classes):
     gradient *= 2.0
     gradient[:-1] += w.T
     assert np.abs(gradient).max() < 1e-3
+
+
+def test_fits_that_differ_in_c_share_their_passes(rows, monkeypatch):
+    from incidentia.operators import hinge
+
+    vectors = MO.TermSpace.fit(
+        FE.vocabulary(FE.term_stats(FE.term_frequency(rows)), F.lit(60), 1), (1, 2)
+    ).transform(rows)
+    passes = []
+    real = hinge.table_losses
+    for module, kind, scores in ((LR, "logreg", "probabilities"), (hinge, "svm", "decision_scores")):
+        monkeypatch.setattr(module, "table_losses", lambda *a: passes.append(len(a[1])) or real(*a))
+        found, alone = [], []
+        for C in (0.1, 1.0, 10.0):
+            passes.clear()
+            found.append(MO.fit_head(vectors, "severity_label", "features", kind, C))
+            alone.append(len(passes))
+        passes.clear()
+        together = MO.fit_heads(vectors, "severity_label", "features", kind, (0.1, 1.0, 10.0))
+        assert len(passes) == max(alone) and sum(passes) == sum(alone)
+        for one, other in zip(found, together):
+            assert np.allclose(one.class_coefficients(), other.class_coefficients(), atol=1e-12)
+            assert np.allclose(one.intercepts(), other.intercepts(), atol=1e-12)
+
+
+def test_a_pass_reads_blocks_not_rows(spark):
+    from incidentia.operators import hinge
+
+    data = [(i % 3, [i % 5, 5] if i % 4 else [], [1.0, 0.5] if i % 4 else []) for i in range(40)]
+    df = spark.createDataFrame(data, "class int, indices array<int>, values array<double>").repartition(20)
+    blocks = hinge.packed(df)
+    w, cost = np.random.default_rng(3).normal(size=(7, 3)), np.array([0.5, 1.0, 2.0])
+    ((losses, gradient),) = hinge.table_losses(blocks, [w], cost)
+    assert blocks.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert blocks.count() <= 20
+    blocks.unpersist()
+    expected_losses, expected = np.zeros(3), w * 0
+    for y, indices, values in data:
+        x = np.zeros(7)
+        x[indices], x[-1] = values, 1.0
+        for k in range(3):
+            sign, weight = (1, cost[k]) if y == k else (-1, 1)
+            short = max(0.0, 1 - sign * (x @ w[:, k]))
+            expected_losses[k] += weight * short**2
+            expected[:, k] -= 2 * weight * sign * short * x
+    assert np.allclose(losses, expected_losses) and np.allclose(gradient, expected)
