@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from incidentia.functions import text as TX
 from incidentia.operators import features as FE
 from incidentia.operators import linear as LI
 from incidentia.operators import logistic as LR
@@ -298,3 +299,24 @@ def test_a_pass_reads_blocks_not_rows(spark):
             expected_losses[k] += weight * short**2
             expected[:, k] -= 2 * weight * sign * short * x
     assert np.allclose(losses, expected_losses) and np.allclose(gradient, expected)
+
+
+def test_statistics_from_texts_equal_counted_terms(spark, monkeypatch):
+    texts = [*DOCS * 3, None, "", "x", "ab ab  ab cd", "ünder straße ab"]
+    df = spark.createDataFrame(
+        [(str(i), i % 3, d) for i, d in enumerate(texts)], "report_number string, fold int, clean_text string"
+    )
+    tf = FE.term_frequency(df, keep=["fold"])
+    old = TX.ngrams(TX.clean_tokens(F.col("clean_text")))
+    plain = Counter((r[0], t) for r in df.select("report_number", old).collect() for t in r[1] or [])
+    assert {(r["report_number"], r["term"]): r["tf"] for r in tf.collect()} == plain
+    monkeypatch.setattr(FE, "HELD_TERMS", 3)  # handed on in many pieces
+    whole = {tuple(r) for r in FE.text_term_stats(df).collect()}
+    assert whole == {tuple(r) for r in FE.term_stats(tf).collect()}
+    parts = [FE.text_fold_stats(df, 3, 2), FE.fold_term_stats(tf, 3, 2)]
+    found = [{(r[0], *r[1], *r[2]) for r in p.collect()} for p in parts]
+    assert found[0] == found[1] and found[0]
+    # A task's sums, not every text's terms, reach the shuffle on the term.
+    monkeypatch.setattr(FE, "HELD_TERMS", 1000)
+    given = FE._group_terms(df.coalesce(1), "clean_text", (1, 2), F.lit(0))
+    assert given.count() == len(whole) < tf.count()
