@@ -20,8 +20,6 @@ from incidentia.llm.common import id_type, in_slot, slices
 
 #: N-grams of a profile.
 PROFILE = 300
-#: Documents that a language's profile is learned from: about so many, chosen by a hash of id and text.
-LEARN_FROM = 5_000
 #: Languages that may be learned; their profiles go to every task.
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
@@ -105,7 +103,7 @@ def is_held_out(id_column: Column) -> Column:
 
 
 def _sample(
-    labelled: DataFrame, id_col: str, text_col: str, lang_col: str, learn_from: int
+    labelled: DataFrame, id_col: str, text_col: str, lang_col: str, learn_from: int | None
 ) -> DataFrame:
     """(text, lang) of the documents that a language is learned from."""
     rows = labelled.select(
@@ -114,6 +112,8 @@ def _sample(
     sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col!r} the right column?")
+    if learn_from is None:
+        return rows.select("text", "lang")
     share = F.lit(1.0)
     for language, count in sizes:
         share = F.when(F.col("lang") == language, min(1.0, learn_from / count)).otherwise(share)
@@ -127,13 +127,13 @@ def learn_profiles(
     text_col: str = "text",
     lang_col: str = "lang",
     size: int = PROFILE,
-    learn_from: int = LEARN_FROM,
+    learn_from: int | None = None,
 ) -> DataFrame:
     """A row per language and profile n-gram: lang, gram, rank from 0.
 
-    Rows with a null text or language are left out. A language with more than ``learn_from``
-    documents is learned from about so many, the ones whose hashed id and text fall below a bound. Texts
-    without a letter add nothing; no rows give no profiles.
+    Rows with a null text or language are left out; all others are learned from. With ``learn_from`` a
+    language with more documents than that is learned from about so many, the ones whose hashed id and
+    text fall below a bound. Texts without a letter add nothing; no rows give no profiles.
     """
     rows = _sample(labelled, id_col, text_col, lang_col, learn_from)
 
@@ -171,7 +171,7 @@ def learn_bounds(
     text_col: str = "text",
     lang_col: str = "lang",
     size: int = PROFILE,
-    learn_from: int = LEARN_FROM,
+    learn_from: int | None = None,
 ) -> DataFrame:
     """A row per language and grade of length: lang, grade, bound.
 

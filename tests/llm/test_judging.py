@@ -97,6 +97,14 @@ def test_sample_is_spread_without_usable_ids(spark):
         assert 50 < taken < 200
 
 
+def test_every_document_is_learned_from(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñåøæłőşžđ"
+    rows = [(i, "oo" if i >= len(letters) else letters[i], "en") for i in range(7_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(frame)
+    assert {ord(c) for c in letters} <= {r.gram for r in profiles.select("gram").collect()}
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
