@@ -320,3 +320,36 @@ def test_statistics_from_texts_equal_counted_terms(spark, monkeypatch):
     monkeypatch.setattr(FE, "HELD_TERMS", 1000)
     given = FE._group_terms(df.coalesce(1), "clean_text", (1, 2), F.lit(0))
     assert given.count() == len(whole) < tf.count()
+
+
+def test_steps_scaled_by_curvature_take_fewer_passes(spark, monkeypatch):
+    """Features as common as words are; classes of the SVM end one by one."""
+    from incidentia.operators import hinge
+
+    rng = np.random.default_rng(5)
+    common = 1.0 / np.arange(1, 121)
+    data = []
+    for i in range(400):
+        own = np.sort(rng.choice(120, 12, replace=False, p=common / common.sum()))
+        values = rng.uniform(0.5, 1.5, 12)
+        y = int(3 * rng.random() < (own % 3 == 1).sum() / 4) + int(i % 9 == 0)
+        data.append((y, own.tolist(), (values / np.linalg.norm(values)).tolist()))
+    df = spark.createDataFrame(data, "class int, indices array<int>, values array<double>").coalesce(2).cache()
+    cost, ends = [0.8, 1.2, 2.0], {}
+    for module, fit in ((LR, LR.fit_logistics), (hinge, hinge.fit_squared_hinge)):
+        passes, real = [], module.table_losses
+        monkeypatch.setattr(module, "table_losses", lambda *a: passes.append(a[1]) or real(*a))
+        ends[module] = fit(df, 120, cost, [10.0], 1000, 1e-4)[0]
+        monkeypatch.setattr(module, "table_losses", real)
+        assert len(passes) <= 60  # 104 and 294 without
+    assert passes[0][0].shape[1] == 3 and passes[-1][0].shape[1] < 3
+    y = np.array([row[0] for row in data])
+    indices = np.concatenate([row[1] for row in data])
+    values = np.concatenate([row[2] for row in data])
+    w, b = ends[hinge]
+    point = np.vstack((w.T, b))
+    for at, share in ((point * 0, None), (point, 1e-4)):
+        _, gradient = hinge.row_losses(indices, values, np.full(400, 12), y, at, np.array(cost))
+        length = np.linalg.norm(at + 10.0 * gradient, axis=0)
+        start = length if share is None else start
+    assert (length <= 1.001e-4 * start).all()
