@@ -151,3 +151,11 @@ def test_separators_of_nothing(spark, none, work):
     path = work.path("flat")
     separators.write_flat_tokens(none, path)
     assert separators.scan_separators(spark, path, work).collect() == []
+
+
+def test_rare_white_space_is_told_from_the_text():
+    from incidentia.llm.tokens import CACHE_ENTRIES, _has_rare
+
+    rare = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
+    assert all(_has_rare(f"aé日{c}b") and _has_rare(f"a{c}") for c in rare) and len(rare) == 25
+    assert not _has_rare("a b\n\t\rcé日🙂") and CACHE_ENTRIES <= 450_000
