@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,20 @@ def test_steps_scaled_by_curvature_take_fewer_passes(spark, monkeypatch):
         length = np.linalg.norm(at + 10.0 * gradient, axis=0)
         start = length if share is None else start
     assert (length <= 1.001e-4 * start).all()
+
+
+def test_sums_of_a_task_take_no_counter_term_by_term(spark, monkeypatch):
+    def refuse(self, other=(), /, **kwargs):
+        assert not isinstance(other, dict)
+        real(self, other, **kwargs)
+
+    real = Counter.update
+    monkeypatch.setattr(Counter, "update", refuse)
+    given = []
+    df = spark.createDataFrame([("aa bb aa",), ("aa",)], "clean_text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda rows, add_up, schema: given.append(add_up) or rows)
+    FE._group_terms(df, "clean_text", (1, 2), F.lit(0))
+    texts = pa.RecordBatch.from_pydict({"part": [0, 0], "text": ["aa bb aa", "aa"]})
+    (found,) = given[0](iter([texts]))
+    sums = {r["term"]: (r["df"], r["cf"]) for r in found.to_pylist()}
+    assert sums == {"aa": (2, 3), "bb": (1, 1), "aa bb": (1, 1), "bb aa": (1, 1)}
