@@ -55,3 +55,23 @@ def test_weights_are_found_without_a_python_object_each(monkeypatch, grams):
     at, values, ends = FE._Weights.of(terms, idf, grams).weigh(pa.array(TEXTS))
     found = [dict(zip(at[a:b].tolist(), values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
     assert found == known and [list(f) for f in found] == [list(k) for k in known]
+
+
+def test_linear_scores_are_made_where_the_weights_are(spark):
+    """No lambda runs per weight and class: they cost most of the query before."""
+    rows = [(str(i), t) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "report_number string, clean_text string")
+    vocab = spark.createDataFrame([("aa", 1.0), ("bb", 2.0), ("aa bb", 1.5)], "term string, idf double")
+    space = FE.TermSpace.fit(vocab)
+    table = spark.createDataFrame([("aa", [1.0, -1.0]), ("aa bb", [0.5, 2.0])], "term string, coef array<double>")
+    scores = LI.linear_scores(df, space, table, {"x": 0.25, "y": -0.5})
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "aggregate(" not in plan
+    factors = {r["term"]: r["coef"] for r in table.collect()}
+    weights = df.select("report_number", space.weigh(F.col("clean_text"), spark).alias("w")).collect()
+    known = {}
+    for key, (places, values) in weights:
+        for k, (label, intercept) in enumerate([("x", 0.25), ("y", -0.5)]):
+            own = [v * factors[space.terms[at]][k] for at, v in zip(places, values) if space.terms[at] in factors]
+            known[key, label] = pytest.approx(sum(own) + intercept)
+    assert {(r[0], r[1]): r[2] for r in scores.collect()} == known
