@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,10 +104,11 @@ def surplus(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def gallop(few: np.ndarray, many: np.ndarray, stride: int = 64) -> np.ndarray:
+def gallop(few: np.ndarray, many: np.ndarray, stride: int = 1024) -> np.ndarray:
     """For each of the sorted ``few`` its place in the sorted ``many``, or -1.
 
-    A window moves along ``many`` and doubles until it reaches past the next needles.
+    A window moves along ``many`` and doubles until it reaches past the next needles. So many needles
+    go at a time that the calls cost less than the search.
     """
     places = np.full(len(few), -1, dtype=np.int64)
     start = 0
@@ -125,19 +127,25 @@ def gallop(few: np.ndarray, many: np.ndarray, stride: int = 64) -> np.ndarray:
     return places
 
 
-def price_pair(one: tuple, two: tuple, n_terms: int, kept: int) -> tuple[int, int]:
-    """The surplus of one over two and of two over one, summed over the ``n_terms`` of a chunk.
+class Side:
+    """A source's terms in a chunk: sorted ids, their shares, and that of a term it lacks.
 
-    Each side is (ids, counts, total): sorted ids inside the chunk, and its occurrences in all
-    chunks. ``kept`` is the number of kept terms in all chunks.
+    ``total`` is its occurrences and ``kept`` the number of kept terms, both in all chunks. Shares are
+    found once, however many pairs the source is in.
     """
-    if len(one[0]) > len(two[0]):
-        return price_pair(two, one, n_terms, kept)[::-1]
-    (ids, counts, total), (their_ids, their_counts, their_total) = one, two
-    p, q = shares(counts, total + kept), shares(their_counts, their_total + kept)
-    none = np.zeros(1, dtype=np.int64)
-    p0, q0 = shares(none, total + kept), shares(none, their_total + kept)
-    places = gallop(ids, their_ids)
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, total: int, kept: int):
+        self.ids = ids
+        self.shares = shares(counts, total + kept)
+        self.none = shares(np.zeros(1, dtype=np.int64), total + kept)
+
+
+def price_pair(one: Side, two: Side, n_terms: int) -> tuple[int, int]:
+    """The surplus of one over two and of two over one, summed over the ``n_terms`` of a chunk."""
+    if len(one.ids) > len(two.ids):
+        return price_pair(two, one, n_terms)[::-1]
+    p, q, p0, q0 = one.shares, two.shares, one.none, two.none
+    places = gallop(one.ids, two.ids)
     both = places >= 0
     alone = np.ones(len(q), dtype=bool)
     alone[places[both]] = False
@@ -151,20 +159,25 @@ def price_pair(one: tuple, two: tuple, n_terms: int, kept: int) -> tuple[int, in
 def _price_blocks(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Both directions of every unordered pair of a source on the left and one on the right."""
 
+    def arrays(table: pa.Table, column: str) -> list[np.ndarray]:
+        lists = table.column(column).combine_chunks()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        return np.split(lists.flatten().to_numpy(), ends[:-1])
+
     def sides(table: pa.Table) -> list[tuple]:
+        others = table.select(["source", "total", "n_terms", "kept"]).to_pylist()
         return [
-            (r["source"], (np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["total"]),
-             r["n_terms"], r["kept"])
-            for r in table.to_pylist()
+            (r["source"], Side(ids, counts, r["total"], r["kept"]) if r["kept"] else None, r["n_terms"])
+            for r, ids, counts in zip(others, arrays(table, "ids"), arrays(table, "counts"))
         ]
 
     lang, _, low, high = (k.as_py() for k in key)
     rows = []
-    others = sides(right)
-    for source, one, n_terms, kept in sides(left):
-        for other, two, _, _ in others:
+    others = sides(right) if left.num_rows and right.num_rows else []
+    for source, one, n_terms in sides(left) if others else []:
+        for other, two, _ in others:
             if source < other or (low != high):
-                there, back = price_pair(one, two, n_terms, kept) if kept else (0, 0)
+                there, back = price_pair(one, two, n_terms) if one else (0, 0)
                 rows += [(lang, source, other, there), (lang, other, source, back)]
     columns = list(zip(*rows)) or [()] * 4
     types = [pa.string(), pa.string(), pa.string(), pa.int64()]

@@ -339,3 +339,23 @@ def test_common_words_skip_values(spark, odd_dir, work):
     assert words[0] == "the" and "changeme" in words and "password" in words
     assert "abcdef" not in words and HEX not in words
     assert [r["rank"] for r in found] == list(range(1, len(found) + 1))
+
+
+def test_shares_are_found_once_for_all_pairs_of_a_source(monkeypatch):
+    import pyarrow as pa
+
+    calls, real = [], D.shares
+    monkeypatch.setattr(D, "shares", lambda n, size: calls.append(len(n)) or real(n, size))
+    sources = [(f"s{i}", [1, 2 + i, 9], [3, i + 1, 2], 6 + i, 12, 40) for i in range(6)]
+    names = ["source", "ids", "counts", "total", "n_terms", "kept"]
+    table = pa.table([pa.array(c) for c in zip(*sources)], names)
+    key = tuple(pa.scalar(v) for v in ("en", 0, 0, 0))
+    found = D._price_blocks(key, table.slice(0), table.slice(0))
+    assert len(calls) == 4 * len(sources)  # not twice and more for each of 15 pairs
+    known = []
+    for a, b in itertools.permutations(sources, 2):
+        counts = [dict(zip(s[1], s[2])) for s in (a, b)]
+        p, q = ([1 + 10**9 * (c.get(t, 0) + 1) // (s[3] + 40) for t in range(1, 13)] for c, s in zip(counts, (a, b)))
+        known.append(("en", a[0], b[0], sum((x - y) ** 2 // y for x, y in zip(p, q))))
+    assert sorted(tuple(r.values()) for r in found.to_pylist()) == sorted(known)
+    assert D._price_blocks(key, table, table.slice(0, 0)).num_rows == 0
