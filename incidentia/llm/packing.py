@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from incidentia.llm.common import id_type
-from incidentia.llm.tokens import encoder
+from incidentia.llm.tokens import CACHE_ENTRIES, encoder
 
 #: Ids of a window.
 WINDOW = 2048
@@ -136,6 +136,7 @@ def pack_documents(
     size: int = WINDOW,
     end_id: int = END_ID,
     max_open: int = MAX_OPEN,
+    cache_entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
@@ -144,7 +145,8 @@ def pack_documents(
     cut up to fill others. Each partition leaves one partly filled window at most. Repeated rows and
     repeated or null ids are packed like any others, an empty table gives no rows, further columns
     are ignored. The windows depend on the order of rows in each partition, so ``docs`` should be a
-    table that is read, not the outcome of a shuffle.
+    table that is read, not the outcome of a shuffle. ``cache_entries`` are the stretches of text that
+    a worker remembers the ids of.
     """
     schema = T.StructType(
         [
@@ -160,7 +162,7 @@ def pack_documents(
         kind = []
 
         def documents():
-            tokens = encoder(vocabulary)
+            tokens = encoder(vocabulary, cache_entries=cache_entries)
             for batch in batches:
                 kind[:] = [batch.schema.field(0).type]
                 keys, texts = batch.column(0).to_pylist(), batch.column(1)

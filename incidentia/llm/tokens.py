@@ -95,6 +95,7 @@ class _Either:
         return self._second[key] if found is None else found
 
 
-def encoder(vocabulary: str, as_text: bool = False) -> StretchEncoder:
+def encoder(vocabulary: str, as_text: bool = False, cache_entries: int = CACHE_ENTRIES) -> StretchEncoder:
     """The worker process's encoder for a vocabulary, made at first use."""
-    return in_slot(("encoder", vocabulary, as_text), lambda: StretchEncoder(vocabulary, as_text))
+    key = ("encoder", vocabulary, as_text, cache_entries)
+    return in_slot(key, lambda: StretchEncoder(vocabulary, as_text, cache_entries))
