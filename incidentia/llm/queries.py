@@ -227,7 +227,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the documents' ids to flat files, counts them there, and names the documents again.
 
     The files do not hold document ids. The scan of the table deals rows to tasks by file ranges,
-    whichever columns it reads, so a row's task and place in it are the file and place of its ids.
+    whichever columns it reads, so a row's task and place in it are the files and place of its ids.
     """
     work = Work(spark, "op10")
     docs = read_table(spark, sf_dir, "documents")
@@ -239,9 +239,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("place")
     )
     part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
-    return counts.join(
-        named, (part == F.col("part")) & (F.col("file_doc") == F.col("place")), "full"
-    ).select("doc_id", "start", "n_tokens")
+    place = separators.place_in_part(F.col("file"), F.col("file_doc"))
+    same = (part == F.col("part")) & (place == F.col("place"))
+    return counts.join(named, same, "full").select("doc_id", "start", "n_tokens")
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentia.llm.common import Work
+from incidentia.llm.common import Work, batches_of
 from incidentia.llm.tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,12 +23,16 @@ VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
 #: Ids of a block.
 BLOCK = 1 << 19
+#: Documents of a file that one task writes; it goes on with the next. A file is read as one value.
+FILE_DOCS = 5_000
+#: Texts that cross to Python at a time, and files.
+TEXT_BATCH, FILE_BATCH = 1_000, 1
 
 
 def write_flat_tokens(
     docs: DataFrame, path: str, text_col: str = "text", vocabulary: str = VOCABULARY
 ) -> None:
-    """Writes one file per partition of ``docs``, a separator after each document.
+    """Writes the documents of each partition to files of ``FILE_DOCS``, a separator after each document.
 
     Spark's text writer puts the bytes of a row and then the line separator, which is here the
     two bytes of the separating id: its commit makes each file appear whole or not at all. Null and
@@ -43,13 +47,15 @@ def write_flat_tokens(
                 shifted = [flat_ids(np.frombuffer(x, "<u4")) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(shifted, pa.binary())], ["ids"])
 
-    (
-        docs.select(F.col(text_col).alias("text"))
-        .mapInArrow(encode, "ids binary")
-        .select(F.col("ids").cast("string").alias("value"))
-        .write.option("lineSep", "\0\0")
-        .text(path)
-    )
+    ids = docs.select(F.col(text_col).alias("text")).mapInArrow(encode, "ids binary")
+    writer = ids.select(F.col("ids").cast("string").alias("value")).write
+    with batches_of(docs.sparkSession, TEXT_BATCH):
+        writer.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_DOCS).text(path)
+
+
+def place_in_part(file: Column, file_doc: Column) -> Column:
+    """Of a document of ``write_flat_tokens``, by its file and number there: its number in its partition."""
+    return F.regexp_extract(file, r"-c(\d+)", 1).cast("long") * FILE_DOCS + file_doc
 
 
 def flat_ids(ids: np.ndarray) -> bytes:
@@ -100,7 +106,8 @@ def scan_separators(
         .load(path)
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     )
-    blocks = work.table(files.mapInArrow(search, schema), "blocks")
+    with batches_of(spark, FILE_BATCH):
+        blocks = work.table(files.mapInArrow(search, schema), "blocks")
     return _stitched(blocks, block)
 
 
