@@ -55,7 +55,8 @@ def write_flat_tokens(
 
 def place_in_part(file: Column, file_doc: Column) -> Column:
     """Of a document of ``write_flat_tokens``, by its file and number there: its number in its partition."""
-    return F.regexp_extract(file, r"-c(\d+)", 1).cast("long") * FILE_DOCS + file_doc
+    # The name's last part: the run's id before it may have parts that begin with a c as well.
+    return F.regexp_extract(file, r"-c(\d+)(\.[^-]*)?$", 1).cast("long") * FILE_DOCS + file_doc
 
 
 def flat_ids(ids: np.ndarray) -> bytes:

@@ -42,3 +42,10 @@ def test_one_file_crosses_to_python_at_a_time(spark):
         assert [r["n"] for r in seen.mapInArrow(sizes, "n long").collect()] == [1] * 40
     assert spark.conf.get(_ROWS) == before
     assert seen.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == 40
+
+
+def test_the_number_of_a_file_ends_its_name(spark):
+    names = ["part-00000-0c1b2c3d-c123-4c56-c789-c00000000001-c002.txt", "part-00001-a-c000.txt.gz", "part-3-c012"]
+    df = spark.createDataFrame([(name, 4) for name in names], "file string, at long")
+    found = df.select(separators.place_in_part(F.col("file"), F.col("at")).alias("n")).collect()
+    assert [r["n"] for r in found] == [separators.FILE_DOCS * k + 4 for k in (2, 0, 12)]
